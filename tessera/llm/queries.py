@@ -1,0 +1,26 @@
+"""Queries of the training-data operators over the test tables, and their SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import textform
+from tessera.plans.shared import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return textform.same_reading_pairs(spark.read.parquet(f"{d}/corpus.parquet"))
+
+
+def p1_form(spark: SparkSession, d: str) -> DataFrame:
+    return textform.with_form(table(spark, d, "corpus").select("ord", "text")).select("ord", "form")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

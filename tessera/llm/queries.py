@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import textform
+from tessera.llm import neardup, textform
 from tessera.plans.shared import table
 
 
@@ -18,6 +18,14 @@ def p1_form(spark: SparkSession, d: str) -> DataFrame:
     return textform.with_form(table(spark, d, "corpus").select("ord", "text")).select("ord", "form")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_pairs(spark.read.parquet(f"{d}/corpus.parquet"), threshold=0.6, k=3)
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_groups(table(spark, d, "corpus"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

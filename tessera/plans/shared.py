@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +50,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the folder ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that Python workers can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    at = tempfile.mkdtemp(prefix="tessera-ship-")
+    atexit.register(shutil.rmtree, at, True)
+    shutil.copytree(root / "tessera", f"{at}/tree/tessera", ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/tessera", "zip", f"{at}/tree"))
+    _SHIPPED.add(app)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import neardup, textform
+from tessera.llm import cutoff, neardup, textform
 from tessera.plans.shared import table
 
 
@@ -26,6 +26,15 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, d, "corpus"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    calls = cutoff.cut_calls(spark.read.parquet(f"{d}/llm_responses.parquet"), spark.read.parquet(f"{d}/extraction_results.parquet"))
+    return calls.where("is_cut").select("record_kind", "record_id", "attempt_number")
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_rates(cutoff.cut_calls(table(spark, d, "llm_responses"), table(spark, d, "extraction_results")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import cutoff, neardup, textform
+from tessera.llm import binpack, cutoff, encode, neardup, textform
 from tessera.plans.shared import table
 
 
@@ -35,6 +35,15 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_rates(cutoff.cut_calls(table(spark, d, "llm_responses"), table(spark, d, "extraction_results")))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = encode.encode(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), out="size", count_only=True)
+    return binpack.pack(sizes, "doc_id", "size", capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -162,7 +163,7 @@ class Encoder:
 
 def _batches(batch: pa.RecordBatch, at: int, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``size`` bytes of text."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(lengths):
         if i > start and (i - start >= rows or held + n > size):
@@ -181,8 +182,6 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str = DEFA
     of ids (INT). Other columns pass through; an existing column ``out`` is replaced. The merge table,
     under 2 MB whatever the data, is the only thing broadcast.
     """
-    import pyarrow.compute  # noqa: F401
-
     df = df.drop(out) if out != text else df
     at = df.schema.names.index(text)
     kept = [f for f in df.schema.fields if f.name != text]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import binpack, cutoff, encode, neardup, textform
+from tessera.llm import binpack, cutoff, encode, neardup, similar, textform
 from tessera.plans.shared import table
 
 
@@ -35,6 +36,24 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_rates(cutoff.cut_calls(table(spark, d, "llm_responses"), table(spark, d, "extraction_results")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.nearest_pairs(similar.usable_vectors(spark.read.parquet(f"{d}/vector_store.parquet")))
+
+
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    near = similar.nearest(similar.usable_vectors(table(spark, d, "vector_store")))
+    return near.withColumn("cosine", F.round("cosine", 6))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.similarity_clusters(similar.usable_vectors(spark.read.parquet(f"{d}/vector_store.parquet"))).select("id", "cluster_id")
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "vector_store")
+    return similar.describe_clusters(similar.similarity_clusters(similar.usable_vectors(rows)), rows)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import binpack, cutoff, encode, neardup, similar, textform
+from tessera.llm import binpack, cutoff, encode, neardup, similar, spam, textform
 from tessera.plans.shared import table
 
 
@@ -63,6 +63,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return binpack.pack(sizes, "doc_id", "size", capacity=2048)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    scores = spam.spam_scores(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/page_labels.parquet"))
+    return scores.where("is_spam").select("doc_id")
+
+
+def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
+    scores = spam.spam_scores(table(spark, d, "documents"), table(spark, d, "page_labels"))
+    return scores.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.col("is_spam").cast("int")).alias("spam"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

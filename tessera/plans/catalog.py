@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators import nested
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     raise NotImplementedError
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.case_children(spark.read.parquet(f"{d}/incident_reports.parquet"), spark.read.parquet(f"{d}/extraction_results.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import nested
+from tessera.plans import q_text
+
+MODULES = [q_text]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    raise NotImplementedError
+    return q_text.dedup_reference_hash(spark, d)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,8 +21,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return {name: getattr(m, name) for m in MODULES for name in m.NAMES} | {"p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.sql().items()}

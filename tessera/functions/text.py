@@ -97,12 +97,8 @@ def split_pattern(c: Column, pattern: str = GPT4_SPLIT) -> Column:
 
 def utf8_bytes(c: Column) -> Column:
     """UTF-8 bytes as ARRAY<INT>; '' gives an empty array, null gives null."""
-
-    def each(h: Column) -> Column:
-        n = (F.length(h) / 2).cast("int")
-        return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
-
-    return F.when(c.isNotNull(), let(F.hex(F.encode(c, "utf-8")), each))
+    pairs = F.regexp_extract_all(F.hex(F.encode(c, "utf-8")), F.lit(".."), 0)
+    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 def within_bytes(c: Column, limit: int = MAX_TEXT_BYTES) -> Column:

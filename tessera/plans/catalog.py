@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import nested
-from tessera.plans import q_text
+from tessera.plans import q_guard, q_numeric, q_text, q_vectors
 
-MODULES = [q_text]
+MODULES = [q_text, q_vectors, q_guard, q_numeric]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

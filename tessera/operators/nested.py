@@ -114,11 +114,13 @@ def infer_lists(df: DataFrame, value: str, depth: int = 12) -> dict[tuple[str, .
     """Paths of the lists of objects in the VARIANT column ``value``, each with the expression that reaches it.
 
     The schema is merged over all rows. Where rows disagree, the values at that path are unwrapped and
-    looked at again by kind: a path that is ever an array or keyed by numbers is a list, any other
-    object is a wrapper whose fields belong to the record. What reaches the driver is one schema a
+    looked at again by kind: a path that is ever an array or keyed by numbers is a list, and so is an
+    object of the name of a list elsewhere; any other object is a wrapper whose fields belong to the
+    record. What reaches the driver is one schema a
     path. Lists inside lists are found by calling this on the child table.
     """
     lists: dict[tuple[str, ...], Column] = {}
+    wrappers: dict[tuple[str, ...], Column] = {}
     pending: list[tuple[tuple[str, ...], Column]] = [((), F.col(value))]
 
     def walk(path: tuple[str, ...], v: Column, shape: Shape) -> None:
@@ -130,6 +132,7 @@ def infer_lists(df: DataFrame, value: str, depth: int = 12) -> dict[tuple[str, .
                 if sub.has_objects():
                     lists[here] = reach
             elif sub.fields:
+                wrappers[here] = reach
                 walk(here, reach, sub)
             elif len(here) <= depth:
                 texts.append((here, reach))
@@ -149,11 +152,15 @@ def infer_lists(df: DataFrame, value: str, depth: int = 12) -> dict[tuple[str, .
                 if obj.fields or arr.has_objects():
                     lists[path] = v
             else:
+                if path:
+                    wrappers[path] = v
                 walk(path, v, obj)
         if texts:  # a field that is always a string may hold JSON throughout
             row = df.agg(*[F.count(F.when(_kind(unwrapped(v)).isin("OBJECT", "ARRAY") & (_kind(v) == "STRING"), 1)).alias(f"c{i}") for i, (_, v) in enumerate(texts)]).first()
             pending += [(path, unwrapped(v)) for i, (path, v) in enumerate(texts) if row[i]]
-    return lists
+    names = {path[-1] for path in lists}
+    alone = {path: v for path, v in wrappers.items() if path[-1] in names}
+    return {path: v for path, v in lists.items() if not any(path[: len(a)] == a for a in alone)} | alone
 
 
 def json_children(df: DataFrame, key: str, text: str) -> dict[tuple[str, ...], DataFrame]:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions import vectors as vx
 
@@ -61,6 +62,7 @@ def topk_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "co
     spark = df.sparkSession
     wanted = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
     stats = wanted.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    q_type = to_arrow_type(wanted.schema["q"].dataType)
     kind, id_kind = wanted.schema["q"].dataType.simpleString(), df.schema[id].dataType.simpleString()
     schema = f"query_id {kind}, id {id_kind}, score double"
     if not stats.n:
@@ -84,7 +86,7 @@ def topk_batch(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "co
                 kth = np.partition(s, len(b) - n, axis=1)[:, len(b) - n]
                 r, c = np.nonzero(s >= kth[:, None] - 1e-9)
                 best = s[r, c] if metric != "euclidean" else np.sqrt(((q[r] - x[c]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in r]), pa.array([ids[i] for i in c]), pa.array(np.clip(best, -1, 1) if metric == "cosine" else best)], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in r], q_type), pa.array([ids[i] for i in c], b.schema.field(0).type), pa.array(np.clip(best, -1, 1) if metric == "cosine" else best)], names=["query_id", "id", "score"])
 
         return rows.mapInArrow(run, schema)
 

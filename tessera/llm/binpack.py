@@ -78,7 +78,7 @@ class Plan:
         return {"key": (rows[:, 0] << 44) + rows[:, 1], "first": rows[:, 1], "base": rows[:, 2], "copies": rows[:, 3], "place": rows[:, 4]}
 
 
-def plan(histogram: dict[int, int], capacity: int, grain: int = 16, sand: int = 4) -> Plan:
+def plan(histogram: dict[int, int], capacity: int, grain: int = 16, sand: int = 8) -> Plan:
     """Plan for ``histogram`` (size -> count, 1 <= size <= capacity).
 
     Sizes above ``sand`` grains form classes, rounded up to whole grains, over which the linear

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tessera.functions import text as tx
 
 Pair = tuple[int, int]
+HEADER = "bpe_tokenizer v1"  # fixed value: first line of a model file
 
 
 def pair_stats(df: DataFrame, ids: str) -> DataFrame:
@@ -206,7 +207,7 @@ class BpeModel:
 
     def dumps(self) -> str:
         """The model as text."""
-        lines = ["bpe_tokenizer v1", f"pattern {json.dumps((self.pattern or '').replace('(?U)', ''))}", f"special_tokens_count {len(self.specials)}"]
+        lines = [HEADER, f"pattern {json.dumps((self.pattern or '').replace('(?U)', ''))}", f"special_tokens_count {len(self.specials)}"]
         lines += [f"{json.dumps(s)} {i}" for s, i in sorted(self.specials.items(), key=lambda x: x[1])]
         lines += [f"merges_count {len(self.merges)}", *[f"{a} {b} {i}" for (a, b), i in sorted(self.merges.items(), key=lambda x: x[1])]]
         return "\n".join(lines) + "\n"
@@ -222,7 +223,7 @@ class BpeModel:
                 raise ValueError(f"expected a line '{head} ...'")
             return line[len(head) + 1 :]
 
-        if next(lines, "") != "bpe_tokenizer v1":
+        if next(lines, "") != HEADER:
             raise ValueError("unknown header")
         try:
             pattern = json.loads(tail("pattern"))

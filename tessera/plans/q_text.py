@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import dedup
 from tessera.operators import minhash as mh
-from tessera.plans.shared import table
+from tessera.plans.shared import spread, table
 
 K = 32
 THRESHOLD = 0.7
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def norm_text(spark, d):

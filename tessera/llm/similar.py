@@ -23,6 +23,7 @@ from tessera.plans.shared import materialize
 
 HIT = 0.58  # measured share of pairs of cosine 0.8 that meet in one table of one rotation with two probes (64 dimensions)
 CELL_ROWS, SPLIT_ROWS, CHUNK = 16_384, 16_384, 2_000_000
+EXACT_ROWS = 100_000  # products in double precision at once
 
 
 @dataclass(frozen=True)
@@ -153,7 +154,10 @@ def _met(codes_q: np.ndarray, codes_x: np.ndarray, q: np.ndarray, x: np.ndarray,
 
 
 def _blocks(t: Tables, table: pa.Table, least: float, rows: Callable) -> Iterator[tuple]:
-    """For chunks of those who look: (their numbers, stored numbers, cosines) of first meetings of cosine >= least."""
+    """For chunks of those who look: (their numbers, stored numbers, cosines) of first meetings of cosine >= least.
+
+    Where the table has a column ``asks``, only rows with it true look.
+    """
     stored = table.column("stored").to_numpy()
     unit = _unit(_floats(table.column("vec")))
     u32 = unit.astype(np.float32)
@@ -161,8 +165,9 @@ def _blocks(t: Tables, table: pa.Table, least: float, rows: Callable) -> Iterato
     number = int(table.column("cell")[0].as_py() % t.count)
     xs = np.flatnonzero(stored)
     step = max(1, CHUNK // max(1, len(xs)))
-    for start in range(0, len(unit), step) if len(xs) else ():
-        qs = np.arange(start, min(start + step, len(unit)))
+    looking = np.flatnonzero(table.column("asks").to_numpy()) if "asks" in table.column_names else np.arange(len(unit))
+    for start in range(0, len(looking), step) if len(xs) else ():
+        qs = looking[start : start + step]
         s = u32[qs] @ u32[xs].T
         yield from rows(qs, xs, s, unit, codes, number)
 
@@ -173,41 +178,44 @@ def nearest(df_vectors: DataFrame, k: int = 10, least: float | None = None, tabl
     Equal cosines are ordered by the smaller other id. With ``least``, only others of at least this
     cosine count. A pair of cosine 0.8 meets with probability 0.999, closer pairs with more. An empty
     table, or one vector alone, gives no rows.
+
+    Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so only those are
+    stored, and the smallest looks for all of them: its k + 1 nearest, itself included, hold the k
+    nearest others of each.
     """
     vectors = materialize(df_vectors, "vectors")
     t = tables or tables_for(vectors.count(), dim)
     floor = -2.0 if least is None else least
+    most = k + 1
+    margin = np.float32((dim + 4) * np.finfo(np.float32).eps)  # twice the error of a product in single precision
 
     def best(table: pa.Table) -> pa.Table:
         ids = np.array(table.column("id").to_pylist(), object)
+        by_id = np.empty(len(ids), np.int64)
+        by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def rows(qs, xs, s, unit, codes, number):
-            own = np.flatnonzero(np.isin(qs, xs))
-            s[own, np.searchsorted(xs, qs[own])] = -3
-            hit = s >= np.float32(floor - 1e-5) if least is not None else s > -2.5
-            many = k + 6
-            count = hit.sum(axis=1)
-            thin = np.flatnonzero((count > 0) & (count <= many))
-            r, c = np.nonzero(hit[thin])
-            r = thin[r]
-            thick = np.flatnonzero(count > many)
+            hit = s >= np.float32(floor) - margin
+            thick = np.flatnonzero(hit.sum(axis=1) > most)
             if len(thick):
-                top = np.argpartition(-s[thick], many - 1, axis=1)[:, :many]
-                r, c = np.concatenate([r, np.repeat(thick, many)]), np.concatenate([c, top.reshape(-1)])
-            q, x = qs[r], xs[c]
-            ok = ids[q] != ids[x]
-            q, x = q[ok], x[ok]
-            cos = np.clip((unit[q] * unit[x]).sum(axis=1), -1.0, 1.0)
-            if least is not None:
-                ok = cos >= least
-                q, x, cos = q[ok], x[ok], cos[ok]
-            if len(q):
-                order = np.lexsort((-cos, q))
+                kth = np.partition(s[thick], s.shape[1] - most, axis=1)[:, s.shape[1] - most]
+                hit[thick] &= s[thick] >= kth[:, None] - margin
+            r, c = np.nonzero(hit)
+            start = 0
+            while start < len(r):  # whole rows of those who look, near EXACT_ROWS products at a time
+                end = np.searchsorted(r, r[min(start + EXACT_ROWS, len(r)) - 1], "right")
+                q, x = qs[r[start:end]], xs[c[start:end]]
+                start = end
+                cos = np.clip((unit[q] * unit[x]).sum(axis=1), -1.0, 1.0)
+                if least is not None:
+                    ok = cos >= least
+                    q, x, cos = q[ok], x[ok], cos[ok]
+                order = np.lexsort((by_id[x], -cos, q))
                 q, x, cos = q[order], x[order], cos[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q, "left")
-                kth = cos[np.minimum(np.searchsorted(q, q, "left") + k - 1, np.searchsorted(q, q, "right") - 1)]
-                ok = ((place < k) | (cos == kth)) & ~_met(codes, codes, q, x, number)
+                ok = np.arange(len(q)) - np.searchsorted(q, q, "left") < most
+                q, x, cos = q[ok], x[ok], cos[ok]
+                ok = ~_met(codes, codes, q, x, number)
                 out.append((q[ok], x[ok], cos[ok]))
             return ()
 
@@ -216,11 +224,18 @@ def nearest(df_vectors: DataFrame, k: int = 10, least: float | None = None, tabl
         q = np.concatenate([o[0] for o in out]) if out else np.zeros(0, int)
         x = np.concatenate([o[1] for o in out]) if out else np.zeros(0, int)
         cos = np.concatenate([o[2] for o in out]) if out else np.zeros(0)
-        return pa.table({"id": pa.array(ids[q], pa.string()), "other": pa.array(ids[x], pa.string()), "cosine": pa.array(cos, pa.float64())})
-
-    met = _meetings(vectors, t, []).groupBy("cell", "split").applyInArrow(best, "id string, other string, cosine double")
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "other", "cosine")
+        return pa.table({"first": pa.array(ids[q], pa.string()), "other": pa.array(ids[x], pa.string()), "cosine": pa.array(cos, pa.float64())})
+
+    place = F.row_number().over(W.partitionBy("vec").orderBy("id"))
+    few = vectors.withColumn("place", place).where(F.col("place") <= most).select("id", "vec", (F.col("place") == 1).alias("asks"))
+    met = _meetings(few, t, ["asks"]).where("asks OR stored").groupBy("cell", "split").applyInArrow(best, "first string, other string, cosine double")
+    rank = F.row_number().over(W.partitionBy("first").orderBy(F.desc("cosine"), "other"))
+    top = met.withColumn("rank", rank).where(F.col("rank") <= most)
+    lists = top.groupBy("first").agg(F.sort_array(F.collect_list(F.struct("rank", "other", "cosine"))).alias("near"))
+    copied = vectors.groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    owners = vectors.join(copied, "vec", "left").select("id", F.coalesce("first", "id").alias("first"))
+    others = F.slice(F.filter("near", lambda o: o["other"] != F.col("id")), 1, k)
+    return owners.join(lists, "first").select("id", F.posexplode(others).alias("p", "o")).select("id", (F.col("p") + 1).alias("rank"), "o.other", "o.cosine")
 
 
 def nearest_pairs(df_vectors: DataFrame, k: int = 10, least: float = 0.8, dim: int = 64) -> DataFrame:

@@ -82,3 +82,28 @@ def test_copies_split_cells_and_empty(spark, monkeypatch):
     assert {r.cluster_id for r in similar.similarity_clusters(vectors).collect()} == {"c00"}
     assert similar.nearest(similar.usable_vectors(df.limit(0))).count() == 0
     assert similar.similarity_clusters(similar.usable_vectors(df.limit(0))).count() == 0
+
+
+def test_many_copies_and_near_copies_keep_the_exact_ten(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64).astype(np.float32)
+    rows = [(f"c{i:03d}", base) for i in range(40)]
+    for i in range(40):  # closer to each other than a product in single precision can tell
+        near = base.copy()
+        near[i] = np.nextafter(near[i], np.float32(9))
+        rows.append((f"n{i:03d}", near * np.float32(1 + i % 3)))
+    rows += [(f"r{i:03d}", rng.normal(size=64).astype(np.float32)) for i in range(20)]
+    order = rng.permutation(len(rows))
+    vectors = similar.usable_vectors(spark.createDataFrame([(int(i), rows[i][0], [float(a) for a in rows[i][1]]) for i in order], "seq long, id string, vector array<float>"))
+    unit = similar._unit(np.stack([v for _, v in rows]))
+    ids = [n for n, _ in rows]
+    want = {}
+    for i in range(80):
+        cos = np.clip((unit[i] * unit).sum(axis=1), -1.0, 1.0)
+        want[ids[i]] = [ids[j] for j in sorted(range(len(ids)), key=lambda j: (-cos[j], ids[j])) if j != i][:10]
+    for least in (0.8, None):
+        got = {}
+        for r in similar.nearest(vectors, 10, least).collect():
+            got.setdefault(r.id, []).append((r["rank"], r.other))
+        assert {i: [o for _, o in sorted(got[i])] for i in want} == want
+        assert all([p for p, _ in sorted(g)] == list(range(1, len(g) + 1)) for g in got.values())

@@ -21,6 +21,7 @@ class Shape:
     fields: dict[str, Shape] = field(default_factory=dict)
     element: Shape | None = None
     mixed: bool = False
+    kind: str = "VOID"
 
     @property
     def indexed(self) -> bool:
@@ -54,12 +55,13 @@ def parse_shape(text: str | None) -> Shape:
         if at < len(text) and text[at] == "(":  # DECIMAL(p,s) never gets here: word() has no reason to stop at "("
             return Shape()
         if kind.startswith("DECIMAL("):
+            start = at - len(kind)
             while text[at - 1] != ")":
                 at += 1
-            return Shape()
+            return Shape(kind=text[start:at])
         if at < len(text) and text[at] == "<":
             at += 1
-            made = Shape()
+            made = Shape(kind=kind)
             if kind == "ARRAY":
                 made.element = shape()
             else:
@@ -73,7 +75,7 @@ def parse_shape(text: str | None) -> Shape:
                         at += 1
             at += 1
             return made
-        return Shape(mixed=kind == "VARIANT")
+        return Shape(mixed=kind == "VARIANT", kind="STRING" if kind == "VARIANT" else kind)
 
     return shape() if text else Shape()
 
@@ -110,78 +112,138 @@ def _at(v: Column, name: str) -> Column:
     return F.try_variant_get(v, "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant")
 
 
-def infer_lists(df: DataFrame, value: str, depth: int = 12) -> dict[tuple[str, ...], Column]:
-    """Paths of the lists of objects in the VARIANT column ``value``, each with the expression that reaches it.
+@dataclass
+class Parts:
+    """What the records of a table hold: lists, by path, and scalars with their type."""
+
+    lists: dict[tuple[str, ...], Column] = field(default_factory=dict)
+    scalars: dict[tuple[str, ...], tuple[Column, str]] = field(default_factory=dict)
+
+
+def infer_parts(df: DataFrame, values: list[Column], names: set[str]) -> list[Parts]:
+    """The Parts of each VARIANT expression of ``values``, each with the expressions that reach them.
 
     The schema is merged over all rows. Where rows disagree, the values at that path are unwrapped and
     looked at again by kind: a path that is ever an array or keyed by numbers is a list, and so is an
-    object of the name of a list elsewhere; any other object is a wrapper whose fields belong to the
-    record. What reaches the driver is one schema a
-    path. Lists inside lists are found by calling this on the child table.
+    object of the name of a list of objects elsewhere (``names``, which grows); any other object is a
+    wrapper whose fields belong to the record. A path may hold both a list and, in other rows, a
+    scalar. What reaches the driver is one schema a path.
     """
-    lists: dict[tuple[str, ...], Column] = {}
-    wrappers: dict[tuple[str, ...], Column] = {}
-    pending: list[tuple[tuple[str, ...], Column]] = [((), F.col(value))]
+    parts = [Parts() for _ in values]
+    wrappers: list[dict[tuple[str, ...], Column]] = [{} for _ in values]
+    pending: list[tuple[int, tuple[str, ...], Column]] = [(i, (), v) for i, v in enumerate(values)]
 
-    def walk(path: tuple[str, ...], v: Column, shape: Shape) -> None:
+    def walk(i: int, path: tuple[str, ...], v: Column, shape: Shape) -> None:
         for name, sub in shape.fields.items():
             here, reach = (*path, name), _at(v, name)
             if sub.mixed:
-                pending.append((here, unwrapped(reach)))
+                pending.append((i, here, unwrapped(reach)))
             elif sub.element is not None or sub.indexed:
+                if sub.indexed or sub.element.kind != "VOID":
+                    parts[i].lists[here] = reach
                 if sub.has_objects():
-                    lists[here] = reach
+                    names.add(name)
             elif sub.fields:
-                wrappers[here] = reach
-                walk(here, reach, sub)
-            elif len(here) <= depth:
-                texts.append((here, reach))
-
-    for _ in range(depth):
-        if not pending:
-            break
+                wrappers[i][here] = reach
+                walk(i, here, reach, sub)
+            elif sub.kind not in ("OBJECT", "VOID"):
+                parts[i].scalars[here] = (reach, sub.kind)
+                if sub.kind == "STRING":
+                    texts.append((i, here, reach))
+
+    while pending:
         now, pending, texts = pending, [], []
         wanted = []
-        for _, v in now:
+        for _, _, v in now:
             k = _kind(v)
-            wanted += [F.schema_of_variant_agg(F.when(k == "OBJECT", v)), F.schema_of_variant_agg(F.when(k == "ARRAY", v)), F.count(F.when(k == "ARRAY", 1))]
+            wanted += [F.schema_of_variant_agg(F.when(k == "OBJECT", v)), F.schema_of_variant_agg(F.when(k == "ARRAY", v)), F.count(F.when(k == "ARRAY", 1)), F.schema_of_variant_agg(F.when(~k.isin("OBJECT", "ARRAY"), v))]
         row = df.agg(*[w.alias(f"c{i}") for i, w in enumerate(wanted)]).first()
-        for n, (path, v) in enumerate(now):
-            obj, arr, arrays = parse_shape(row[3 * n]), parse_shape(row[3 * n + 1]), row[3 * n + 2]
-            if path and (arrays or obj.indexed):
-                if obj.fields or arr.has_objects():
-                    lists[path] = v
+        for n, (i, path, v) in enumerate(now):
+            obj, arr, arrays, plain = parse_shape(row[4 * n]), parse_shape(row[4 * n + 1]), row[4 * n + 2], parse_shape(row[4 * n + 3])
+            if plain.kind != "VOID":
+                parts[i].scalars[path] = (v, plain.kind)
+            if arrays or obj.indexed:
+                if obj.fields or (arr.element is not None and arr.element.kind != "VOID"):
+                    parts[i].lists[path] = v
+                if path and (obj.fields or arr.has_objects()):
+                    names.add(path[-1])
             else:
                 if path:
-                    wrappers[path] = v
-                walk(path, v, obj)
+                    wrappers[i][path] = v
+                walk(i, path, v, obj)
         if texts:  # a field that is always a string may hold JSON throughout
-            row = df.agg(*[F.count(F.when(_kind(unwrapped(v)).isin("OBJECT", "ARRAY") & (_kind(v) == "STRING"), 1)).alias(f"c{i}") for i, (_, v) in enumerate(texts)]).first()
-            pending += [(path, unwrapped(v)) for i, (path, v) in enumerate(texts) if row[i]]
-    names = {path[-1] for path in lists}
-    alone = {path: v for path, v in wrappers.items() if path[-1] in names}
-    return {path: v for path, v in lists.items() if not any(path[: len(a)] == a for a in alone)} | alone
+            row = df.agg(*[F.count(F.when(_kind(unwrapped(v)).isin("OBJECT", "ARRAY") & (_kind(v) == "STRING"), 1)).alias(f"c{n}") for n, (_, _, v) in enumerate(texts)]).first()
+            pending += [(i, path, unwrapped(v)) for n, (i, path, v) in enumerate(texts) if row[n]]
+    for part, objects in zip(parts, wrappers, strict=True):
+        alone = {path: v for path, v in objects.items() if path[-1] in names}
+        inside = lambda path: any(path[: len(a)] == a and path != a for a in alone)  # noqa: B023, E731
+        outer = {path: v for path, v in alone.items() if not inside(path)}
+        part.lists = {path: v for path, v in part.lists.items() if not inside(path)} | outer
+        part.scalars = {path: v for path, v in part.scalars.items() if not inside(path)}
+    return parts
+
+
+@dataclass
+class Level:
+    """All lists of one depth: ``rows`` (parent_id, list, places, kind, v), of which ``list`` is a place in ``paths``."""
+
+    rows: DataFrame
+    paths: list[tuple[str, ...]]
+    parts: list[Parts]
 
 
-def json_children(df: DataFrame, key: str, text: str) -> dict[tuple[str, ...], DataFrame]:
-    """Child tables ``(parent_id, pos, value)`` of JSON records, by the path of the list they come from.
+def json_levels(df: DataFrame, key: str, text: str) -> list[Level]:
+    """The records of JSON text and, level by level, the places of every list inside them, however deep.
 
     A root that is itself a list stands for its records. Text that isn't valid JSON, null and empty
-    text have no children. ``value`` is the child as VARIANT; null places are counted in ``pos`` and
-    are no rows. Records delivered again give their rows again.
+    text have no rows. ``places`` are the places at all levels, from the record's place in the root to
+    the row's own; null places are counted and are no rows. A list right inside a list is called '[]'.
+    Records delivered again give their rows again. Each level is written once and read by the next.
     """
     from tessera.plans.shared import materialize
 
+    def written(listed: DataFrame, place: Column, name: str) -> DataFrame:
+        value = F.col("e.value")
+        rows = listed.select("parent_id", "list", place.alias("places"), _kind(value).alias("kind"), F.to_json(value).alias("j")).where("kind <> 'VOID'")
+        return materialize(rows, name).withColumn("v", F.parse_json("j")).drop("j")
+
     parsed = df.select(F.col(key).alias("parent_id"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
-    root = parsed.select("parent_id", F.explode(items(unwrapped(F.col("v")))).alias("r")).select("parent_id", F.col("r.value").alias("v"))
-    root = root.where(_kind(F.col("v")) == "OBJECT")
-    root = materialize(root.select("parent_id", F.to_json("v").alias("j")), "records").select("parent_id", F.parse_json("j").alias("v"))
-    return {path: _children(root, v) for path, v in infer_lists(root, "v").items()}
+    root = parsed.select("parent_id", F.lit(0).alias("list"), F.explode(items(unwrapped(F.col("v")))).alias("e"))
+    rows, paths, names = written(root.where(_kind(F.col("e.value")) == "OBJECT"), F.array("e.pos"), "records"), [()], set()
+    levels = []
+    while True:
+        parts = infer_parts(rows, [F.when(F.col("list") == i, F.col("v")) for i in range(len(paths))], names)
+        levels.append(Level(rows, paths, parts))
+        below = [((*paths[i], *(path or ("[]",))), v) for i, part in enumerate(parts) for path, v in part.lists.items()]
+        if not below:
+            return levels
+        each = rows.select("parent_id", "places", F.explode(F.array(*[F.struct(F.lit(n).alias("list"), v.alias("v")) for n, (_, v) in enumerate(below)])).alias("c")).where("c.v IS NOT NULL")
+        child = each.select("parent_id", "places", F.col("c.list").alias("list"), F.explode(items(unwrapped(F.col("c.v")))).alias("e"))
+        rows, paths = written(child, F.concat("places", F.array("e.pos")), "children"), [path for path, _ in below]
+
+
+def json_tables(df: DataFrame, key: str, text: str) -> dict[tuple[str, ...], DataFrame]:
+    """Related flat tables ``(parent_id, places, scalars)`` of JSON records, by the path of their list, () for the records.
+
+    A row's surrogate key is ``parent_id`` with ``places``; its parent's is the same without the last
+    place. Fields of wrappers are called ``a__b``, and a place that is itself a scalar is ``value``.
+    Scalars whose type differs between rows are strings. See ``json_levels``.
+    """
+    return {path: _flat(level, i) for level in json_levels(df, key, text) for i, path in enumerate(level.paths)}
 
 
-def _children(root: DataFrame, v: Column) -> DataFrame:
-    one = root.select("parent_id", F.explode(items(unwrapped(v))).alias("c")).select("parent_id", F.col("c.pos").alias("pos"), F.col("c.value").alias("value"))
-    return one.where(_kind(F.col("value")) == "OBJECT")
+def _flat(level: Level, i: int) -> DataFrame:
+    taken = {"parent_id", "places"}
+    columns = []
+    for path, (v, kind) in level.parts[i].scalars.items():
+        name = wanted = "__".join(path) or "value"
+        n = 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{wanted}_{n}"
+        taken.add(name.lower())
+        columns.append(F.when(~_kind(v).isin("OBJECT", "ARRAY", "VOID"), F.try_variant_get(v, "$", kind.lower())).alias(name))
+    return level.rows.where(F.col("list") == i).select("parent_id", "places", *columns)
 
 
 def flatten(df: DataFrame, key: str, prefix: str = "") -> dict[str, DataFrame]:
@@ -229,13 +291,16 @@ CHILD_NAMES = {"suspects": "suspect", "evidences": "evidence", "history": "attem
 def case_children(reports: DataFrame, results: DataFrame) -> DataFrame:
     """``parent, parent_id, child, pos``: every child object of reports (JSON payload) and results (typed columns), once.
 
-    Lists of the same name count as one whatever wrapper they arrived in. Null places and null parents
-    give no rows; a record delivered again adds nothing.
+    Lists of the same name count as one whatever wrapper they arrived in, at whatever depth. Null places
+    and null parents give no rows; a record delivered again adds nothing.
     """
     parts = []
-    for path, child in json_children(reports, "report_id", "payload").items():
-        if path[-1] in CHILD_NAMES:
-            parts.append(child.select(F.lit("report").alias("parent"), "parent_id", F.lit(CHILD_NAMES[path[-1]]).alias("child"), "pos"))
+    for level in json_levels(reports, "report_id", "payload"):
+        named = [(i, CHILD_NAMES[path[-1]]) for i, path in enumerate(level.paths) if path and path[-1] in CHILD_NAMES]
+        if named:
+            child = F.element_at(F.create_map(*[F.lit(x) for pair in named for x in pair]), F.col("list"))
+            rows = level.rows.where(F.col("list").isin([i for i, _ in named]) & (F.col("kind") == "OBJECT"))
+            parts.append(rows.select(F.lit("report").alias("parent"), "parent_id", child.alias("child"), F.element_at("places", -1).alias("pos")))
     for path, child in flatten(results.select("result_id", "data", "history"), "result_id").items():
         name = path.rpartition("__")[2]
         if name in CHILD_NAMES:
@@ -244,3 +309,35 @@ def case_children(reports: DataFrame, results: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     return out.where("parent_id IS NOT NULL").distinct()
+
+
+def case_tables(reports: DataFrame, results: DataFrame) -> DataFrame:
+    """All flat tables of reports and results in one: ``parent, list, parent_id, places`` and the scalars of all.
+
+    ``list`` is the path of the list, '' for the records; a row has null in the columns of other lists.
+    A column whose type differs between lists is a string. A record delivered again adds nothing.
+    """
+    parts = []
+    for path, one in json_tables(reports, "report_id", "payload").items():
+        parts.append(("report", ".".join(path), one))
+    for path, one in flatten(results.select("result_id", "data", "history"), "result_id").items():
+        places = [f.name for f in one.schema.fields if f.name.startswith("pos_")]
+        rest = [c for c in one.columns if c not in ("result_id", *places)]
+        parts.append(("result", path, one.select(F.col("result_id").alias("parent_id"), F.array(F.lit(0), *places).alias("places"), *rest)))
+    keys = ("parent", "list", "parent_id", "places")
+    kinds: dict[str, list[T.DataType]] = {}
+    spelled: dict[str, str] = {}
+    for _, _, one in parts:
+        for f in one.schema.fields[2:]:
+            name = spelled.setdefault(f.name.lower(), f.name if f.name.lower() not in keys else f"record__{f.name}")
+            kinds.setdefault(name, []).append(f.dataType)
+    out = None
+    for parent, path, one in parts:
+        have = {spelled[f.name.lower()]: f.name for f in one.schema.fields[2:]}
+        columns = []
+        for name, seen in kinds.items():
+            kind = seen[0] if all(k == seen[0] for k in seen) else T.StringType()
+            columns.append((F.col(f"`{have[name].replace('`', '``')}`") if name in have else F.lit(None)).cast(kind).alias(name))
+        rows = one.select(F.lit(parent).alias("parent"), F.lit(path).alias("list"), F.col("parent_id"), F.col("places"), *columns)
+        out = rows if out is None else out.union(rows)
+    return out.where("parent_id IS NOT NULL").distinct()

@@ -20,8 +20,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.case_children(spark.read.parquet(f"{d}/incident_reports.parquet"), spark.read.parquet(f"{d}/extraction_results.parquet"))
 
 
+def p3_tables(spark: SparkSession, d: str) -> DataFrame:
+    return nested.case_tables(spark.read.parquet(f"{d}/incident_reports.parquet"), spark.read.parquet(f"{d}/extraction_results.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(m, name) for m in MODULES for name in m.NAMES} | {"p3_found": p3_found}
+    return {name: getattr(m, name) for m in MODULES for name in m.NAMES} | {"p3_found": p3_found, "p3_tables": p3_tables}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -196,3 +196,28 @@ def test_nested_tables(spark):
     assert nested.case_children(reports.limit(0), results).count() == 3
     tables = nested.flatten(spark.createDataFrame([(1, [([("z", [1, 2])], "a")])], "id long, l array<struct<m: array<struct<id: string, s: array<int>>>, id: string>>"), "id")
     assert [tuple(r) for r in tables["l.m"].collect()] == [(1, 0, 0, "z")] and [tuple(r) for r in tables["l.m.s"].collect()] == [(1, 0, 0, 0, 1), (1, 0, 0, 1, 2)]
+
+
+def test_nested_tables_at_every_level(spark):
+    cars = [{"tag": "A1", "parts": [{"n": 1, "sizes": [2, 3]}]}, None, {"tag": 7}]
+    payloads = [
+        (1, {"reports": [{"suspects": [{"n": "x", "vehicles": cars}]}, {"suspects": [None, {"n": "y", "notes": "tall"}]}]}),
+        (2, [{"risk": 1, "suspects": [{"n": "a"}]}, {"risk": 2, "suspects": [{"n": "b", "notes": ["p", "q"], "at": {"x": 1.5}}]}]),
+        (3, {"suspects": [{"vehicles": {"tag": "B2"}}, {"vehicles": [{"tag": "C3"}]}]}),
+    ]
+    reports = spark.createDataFrame([(i, json.dumps(p)) for i, p in payloads], "report_id long, payload string")
+    results = spark.createDataFrame([(1, ([("z",)],), [(1, "x")])], "result_id long, data struct<suspects: array<struct<n: string>>>, history array<struct<attempt_number: int, raw_response: string>>")
+    found = {tuple(r) for r in nested.case_children(reports, results).where("parent = 'report'").collect()}
+    assert found == {("report", 1, "suspect", 0), ("report", 1, "suspect", 1), ("report", 2, "suspect", 0), ("report", 3, "suspect", 0), ("report", 3, "suspect", 1)}
+    got = {path: {(r.parent_id, *r.places): {k: v for k, v in r.asDict().items() if k not in ("parent_id", "places") and v is not None} for r in one.collect()} for path, one in nested.json_tables(reports, "report_id", "payload").items()}
+    assert got[()] == {(1, 0): {}, (2, 0): {"risk": 1}, (2, 1): {"risk": 2}, (3, 0): {}}
+    assert got["reports", "suspects"] == {(1, 0, 0, 0): {"n": "x"}, (1, 0, 1, 1): {"n": "y", "notes": "tall"}}
+    assert got["reports", "suspects", "vehicles"] == {(1, 0, 0, 0, 0): {"tag": "A1"}, (1, 0, 0, 0, 2): {"tag": "7"}}
+    assert got["reports", "suspects", "vehicles", "parts"] == {(1, 0, 0, 0, 0, 0): {"n": 1}}
+    assert got["reports", "suspects", "vehicles", "parts", "sizes"] == {(1, 0, 0, 0, 0, 0, 0): {"value": 2}, (1, 0, 0, 0, 0, 0, 1): {"value": 3}}
+    assert {k: float(v["at__x"]) for k, v in got["suspects",].items() if "at__x" in v} == {(2, 1, 0): 1.5}
+    assert got["suspects", "notes"] == {(2, 1, 0, 0): {"value": "p"}, (2, 1, 0, 1): {"value": "q"}}
+    assert got["suspects", "vehicles"] == {(3, 0, 0, 0): {"tag": "B2"}, (3, 0, 1, 0): {"tag": "C3"}}
+    one = nested.case_tables(reports, results)
+    assert {(r.parent, r.list, r.n) for r in one.where("n IS NOT NULL AND list LIKE '%suspects'").collect()} >= {("report", "suspects", "b"), ("result", "data__suspects", "z")}
+    assert one.count() == sum(map(len, got.values())) + 3

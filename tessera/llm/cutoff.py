@@ -31,6 +31,7 @@ _MARK = re.compile(r"(?:\.\.\.|…|\[truncated\]|\[…\]|\[\.\.\.\]|<truncated>|
 _ITEM = re.compile(r"\s*(?:[-*•–+]|\d+[.)])(?:\s|$)")
 _WORD = re.compile(r"[^\W\d_]+")
 _LAST = re.compile(r"[^\W\d_]+$")
+_JOINED = re.compile(r"[\w'’]")  # before the unit in '30s', before the end of "isn't"
 _ENDS = tuple(".!?。！？:;\"'”’»)]}>`|")
 _DECODER = json.JSONDecoder()
 
@@ -93,8 +94,10 @@ def _scanned(df: DataFrame, keys: list[str]) -> DataFrame:
                 shape.append(shape_of(text))
                 low = text.lower()
                 found = _WORD.findall(low)
-                end = _LAST.search(low.rstrip())
-                last.append(end.group() if end else None)
+                stripped = low.rstrip()
+                end = _LAST.search(stripped)
+                alone = end and not (end.start() and _JOINED.match(stripped, end.start() - 1))
+                last.append(end.group() if alone else None)
                 words.update(found[:-1] if end else found)
             m = len(n)
             cols = [*rest, pa.array(n, pa.int32()), pa.array(shape, pa.int32()), pa.array(last, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())]
@@ -109,14 +112,29 @@ def _scanned(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def vocabulary_trie(words: DataFrame) -> DataFrame:
-    """The trie over ``(word, cnt)`` as a table ``(node, is_word)`` of its nodes.
+    """The trie over ``(word, cnt)`` as a table ``(node, is_word, longer)`` of its nodes.
 
     A word is known from its second occurrence on. The longest 40 characters of a word make nodes.
+    ``longer`` is the number of occurrences of the known words that go on after the node.
     """
     known = words.groupBy("word").agg(F.sum("cnt").alias("cnt")).where("cnt >= 2")
     depth = F.least(F.length("word"), F.lit(40))
-    nodes = known.select("word", F.explode(F.sequence(F.lit(1), depth)).alias("d"))
-    return nodes.select(F.substring("word", F.lit(1), F.col("d")).alias("node"), (F.col("d") == F.length("word")).alias("w")).groupBy("node").agg(F.max("w").alias("is_word"))
+    nodes = known.select("word", "cnt", F.explode(F.sequence(F.lit(1), depth)).alias("d"))
+    nodes = nodes.select(F.substring("word", F.lit(1), F.col("d")).alias("node"), (F.col("d") == F.length("word")).alias("w"), "cnt")
+    return nodes.groupBy("node").agg(F.max("w").alias("is_word"), F.sum(F.when(F.col("w"), 0).otherwise(F.col("cnt"))).alias("longer"))
+
+
+def word_parts(words: DataFrame, ends: DataFrame) -> DataFrame:
+    """``(last, prefix)``: the last tokens of ``(last, ends)`` that are parts of words.
+
+    A part is a proper prefix of known words, is no known word of ``words`` (those inside texts), and
+    ends fewer texts than its longer words occur, inside texts or at their ends: an answer that is
+    given whole time and again is no part of a rarer word.
+    """
+    inside = words.groupBy("word").agg(F.sum("cnt").alias("cnt")).where("cnt >= 2").select(F.col("word").alias("last"))
+    trie = vocabulary_trie(words.select("word", "cnt").union(ends.select("last", "ends")))
+    found = ends.join(trie, F.col("last") == F.col("node")).where("ends < longer").join(inside, "last", "left_anti")
+    return found.select("last", F.lit(True).alias("prefix"))
 
 
 def cut_records(df: DataFrame, source: str, keys: list[str], text: str, reason: Column, tokens: Column) -> DataFrame:
@@ -128,8 +146,9 @@ def cut_records(df: DataFrame, source: str, keys: list[str], text: str, reason:
     - its tokens exceed what its length explains, at the rate learned over all closed texts, or
     - it ends in the open as prose, or
     - it ends without an end (a list, a short answer) and the reason says so, or its length is a limit
-      of its source, or, for a list whose tokens are not known, its last token is an unknown proper
-      prefix of known words.
+      of its source, or its last token is a part of a word (see ``word_parts``). The last holds whether
+      or not tokens are known, as providers count those of the cut text, but not for texts of far
+      fewer tokens than their length takes: no model wrote those, they are messages of errors.
     A limit is a length that at least 5 texts of the source have, at least half of those of that
     length or more, most of them ending in the open; a text that ends properly at a limit is whole.
     A null source is a source of its own. Null and empty texts give no row.
@@ -138,9 +157,8 @@ def cut_records(df: DataFrame, source: str, keys: list[str], text: str, reason:
     rows = df.select(*keys, F.col(source).alias("source"), tokens.cast("double").alias("tokens"), F.coalesce(said, F.lit(False)).alias("said"), F.col(text).alias("text"))
     scanned = materialize(_scanned(rows.where("text IS NOT NULL AND text <> ''"), keys), "ends")
     records = scanned.where("word IS NULL").dropDuplicates(keys)
-    trie = vocabulary_trie(scanned.where("word IS NOT NULL").select("word", "cnt"))
-    finals = records.where(F.col("shape").isin(SHORT, UNENDED, ITEMS) & F.col("last").isNotNull()).select("last").distinct()
-    part = finals.join(trie, F.col("last") == F.col("node")).where("NOT is_word").select("last", F.lit(True).alias("prefix"))
+    finals = records.where(F.col("shape").isin(SHORT, ITEMS) & F.col("last").isNotNull()).groupBy("last").agg(F.count("*").alias("ends"))
+    part = word_parts(scanned.where("word IS NOT NULL").select("word", "cnt"), finals)
 
     complete = scanned.where((F.col("word").isNull()) & F.col("shape").isin(CLOSED, ENDED) & F.col("tokens").isNotNull() & (F.col("n") >= 40) & ~F.col("said"))
     rate = complete.agg(F.percentile_approx(F.col("n") / F.col("tokens"), 0.5, 10000).alias("r")).first().r
@@ -148,8 +166,9 @@ def cut_records(df: DataFrame, source: str, keys: list[str], text: str, reason:
         rate = float(round(rate * 2) / 2) or rate  # characters a token; the rounding of counts hides finer steps
         spare = complete.agg(F.percentile_approx(F.col("tokens") - F.col("n") / F.lit(rate), 0.98, 10000).alias("s")).first().s
         excess = F.coalesce(F.col("tokens") - F.col("n") / F.lit(rate) > F.lit(float(spare) + 0.01), F.lit(False))
+        written = F.coalesce(F.col("tokens") * F.lit(2 * rate) >= F.col("n"), F.lit(True))
     else:
-        excess = F.lit(False)
+        excess, written = F.lit(False), F.coalesce(F.col("tokens") > 0, F.lit(True))
 
     unended = F.col("shape").isin(OPEN, UNENDED, MARKED).cast("int")
     lengths = records.groupBy("source", "n").agg(F.count("*").alias("here"), F.sum(unended).alias("open"))
@@ -162,7 +181,7 @@ def cut_records(df: DataFrame, source: str, keys: list[str], text: str, reason:
     is_cut = (
         shape.isin(OPEN, MARKED, UNENDED)
         | excess
-        | (shape.isin(ITEMS, SHORT) & (cap | F.col("said") | (prefix & (F.col("tokens").isNull() & (shape == ITEMS)))))
+        | (shape.isin(ITEMS, SHORT) & (cap | F.col("said") | (prefix & written)))
     )
     names = F.array(*[F.lit(x) for x in SHAPES])
     return out.select(*keys, "source", is_cut.alias("is_cut"), F.element_at(names, shape + 1).alias("shape"), "n")

@@ -42,3 +42,14 @@ def test_trie(spark):
     words = spark.createDataFrame([("ware", 1), ("warehouse", 3), ("a", 2)], "word string, cnt long")
     nodes = {r.node: r.is_word for r in cutoff.vocabulary_trie(words).collect()}
     assert nodes["wareh"] is False and nodes["warehouse"] is True and nodes["ware"] is False and nodes["a"] is True
+
+
+def test_parts_of_words_decide_short_answers_and_lists(spark):
+    full = [(i, f"The patrol number {i} searched the {'very ' * (i % 4)}old warehouse near the river with a torch.", None) for i in range(40)]
+    whole = [(100 + i, "Medio", 2) for i in range(6)] + [(110 + i, "timeout after 30s", 0) for i in range(6)] + [(120, "robo", 1), (121, "robo", 1), (122, "robo", 1), (123, "the robots, the robots", 6), (124, "- torch\n- warehouse", 5)]
+    errors = [(130, "gateway at the rive", 0), (131, "timeout after 30s", None)]
+    cut = [(200, "Medi", 1), (201, "Medi", None), (202, "- torch\n- wareh", 4), (203, "- torch\n- wareh", None), (204, "near the rive", 4)]
+    df = spark.createDataFrame([(i, "s", t, n) for i, t, n in full + whole + errors + cut], "id long, s string, text string, n int")
+    tokens = F.when(F.col("id") < 100, F.ceil(F.length("text") / 4)).otherwise(F.col("n"))
+    got = cutoff.cut_records(df, "s", ["id"], "text", F.lit("STOP"), tokens)
+    assert {r.id for r in got.where("is_cut").collect()} == {i for i, _, _ in cut}

@@ -76,21 +76,21 @@ def lsh_bucket_stats(spark, d):
 
 
 def lsh_candidates(spark, d):
-    return mh.lsh_candidates(_bands(spark, d))
+    return mh.lsh_candidates(_bands(spark, d), None)
 
 
 def lsh_verified_edges(spark, d):
     b, r = mh.lsh_params(THRESHOLD, K)
     reps = _reps(spark, d)[1]
-    return mh.verified_edges(mh.lsh_candidates(mh.lsh_bands(reps, "rep", "sig", b, r)), reps, "rep", "sig", THRESHOLD)
+    return mh.verified_edges(mh.lsh_candidates(mh.lsh_bands(reps, "rep", "sig", b, r), None), reps, "rep", "sig", THRESHOLD)
 
 
 def dedup_components(spark, d):
-    return dedup.clusters(_docs(spark, d), "doc_id", "text", THRESHOLD, 5, K, base="md5", compatibility=False).groupBy("component").agg(F.count("*").alias("members"))
+    return dedup.clusters(_docs(spark, d), "doc_id", "text", THRESHOLD, 5, K, base="md5", compatibility=False, cap=None).groupBy("component").agg(F.count("*").alias("members"))
 
 
 def _dedup(spark, d, policy):
-    return dedup.deduplicate(_docs(spark, d), "doc_id", "text", threshold=THRESHOLD, num_perm=K, base="md5", compatibility=False, policy=policy).select(F.col("id").alias("doc_id"), "component", "is_kept")
+    return dedup.deduplicate(_docs(spark, d), "doc_id", "text", threshold=THRESHOLD, num_perm=K, base="md5", compatibility=False, policy=policy, cap=None).select(F.col("id").alias("doc_id"), "component", "is_kept")
 
 
 def dedup_first(spark, d):

@@ -123,3 +123,22 @@ def test_jaccard_edges(spark):
     df = spark.createDataFrame(CORPUS, "id long, text string")
     got = [(r.id_a, r.id_b, round(r.similarity, 4)) for r in dedup.jaccard_edges(df, "id", "text", 0.6, 3).collect()]
     assert got == [(0, 3, round(11 / 12, 4))]
+
+
+def test_queries_have_no_bucket_cap(spark, tmp_path, monkeypatch):
+    from tessera.plans import q_text
+
+    words = " ".join(f"w{i}" for i in range(60))
+    spark.createDataFrame([(i, f"{words} end{i}") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    real, caps = mh.lsh_candidates, []
+
+    def tight(bands, cap=mh.BUCKET_CAP):
+        caps.append(cap)
+        return real(bands, None if cap is None else 1)
+
+    monkeypatch.setattr(mh, "lsh_candidates", tight)
+    assert q_text.lsh_candidates(spark, str(tmp_path)).count() == 6
+    assert q_text.lsh_verified_edges(spark, str(tmp_path)).count() == 6
+    assert [r.members for r in q_text.dedup_components(spark, str(tmp_path)).collect()] == [4]
+    assert q_text.dedup_first(spark, str(tmp_path)).where("is_kept").count() == 1
+    assert caps == [None] * 4

@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from tessera.plans import catalog
-from tessera.plans.shared import ship
+from tessera.shared import ship
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import minhash as mh
 from tessera.operators.graph import connected_components
-from tessera.plans.shared import materialize
+from tessera.operators.pairing import pairs_of_equal_keys
+from tessera.shared import materialize
 
 POLICIES = ("first", "longest", "shortest")
 
@@ -39,7 +40,7 @@ def sign(df: DataFrame, order: str, text: str, k: int, num_perm: int, mode: str,
     return members, reps
 
 
-def clusters(df: DataFrame, order: str, text: str, threshold: float = 0.75, k: int = 5, num_perm: int = 128, mode: str = "word", b: int | None = None, r: int | None = None, seed: int = 42, base: str = "blake2b", compatibility: bool = True, cap: int | None = mh.BUCKET_CAP) -> DataFrame:
+def clusters(df: DataFrame, order: str, text: str, threshold: float = 0.75, k: int = 5, num_perm: int = 128, mode: str = "word", b: int | None = None, r: int | None = None, seed: int = 42, base: str = "blake2b", compatibility: bool = True, cap: int | None = None) -> DataFrame:
     """``(ord, component)`` of every row: the least ``order`` of its cluster of transitively similar texts."""
     b, r = mh.checked_params(threshold, num_perm, b, r)
     members, reps = sign(df, order, text, k, num_perm, mode, seed, base, compatibility)
@@ -48,13 +49,14 @@ def clusters(df: DataFrame, order: str, text: str, threshold: float = 0.75, k: i
     return members.join(found, "rep", "left").select("ord", F.coalesce("component", "rep").alias("component"))
 
 
-def deduplicate(df: DataFrame, id: str, text: str, order: str | None = None, threshold: float = 0.75, k: int = 5, num_perm: int = 128, mode: str = "word", b: int | None = None, r: int | None = None, policy: str = "first", seed: int = 42, base: str = "blake2b", compatibility: bool = True, cap: int | None = mh.BUCKET_CAP) -> DataFrame:
+def deduplicate(df: DataFrame, id: str, text: str, order: str | None = None, threshold: float = 0.75, k: int = 5, num_perm: int = 128, mode: str = "word", b: int | None = None, r: int | None = None, policy: str = "first", seed: int = 42, base: str = "blake2b", compatibility: bool = True, cap: int | None = None) -> DataFrame:
     """``id, ord, component, is_kept`` for every row of the corpus; ``order`` must be unique and defaults to ``id``.
 
     ``policy`` keeps the ``first``, the ``longest`` or the ``shortest`` raw text of each cluster, of
     equal lengths the earlier one. Null texts count as empty; all texts without a shingle form one
     cluster. An empty corpus gives an empty result. Similarity is estimated over all ``num_perm``
     slots and compared with >=. The pick is an aggregate, so a cluster may hold any share of the rows.
+    ``cap`` limits who can be found in a bucket, see ``minhash.lsh_candidates``; without it none is missed.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -66,23 +68,35 @@ def deduplicate(df: DataFrame, id: str, text: str, order: str | None = None, thr
     return rows.join(kept, "component").select("id", "ord", "component", (F.col("ord") == F.col("keep")).alias("is_kept"))
 
 
+def _by_rarity(classes: DataFrame, buckets: int = 1 << 16) -> DataFrame:
+    """``classes`` with ``o``: the set ``s`` in one order for all rows, shingles of rare buckets first.
+
+    How often shingles occur is counted by buckets of their hash, so that one row of ``buckets`` numbers
+    is broadcast, whatever the number of shingles, and no shingle is a join key.
+    """
+    bucket = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+    counts = classes.select(F.explode("s").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("c"))
+    every = classes.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    row = every.agg(F.sort_array(F.collect_list(F.struct("b", F.coalesce("c", F.lit(0)).alias("c")))).alias("all")).select(F.lit(0).alias("one"), F.col("all.c").alias("seen"))
+    joined = classes.withColumn("one", F.lit(0)).join(F.broadcast(row), "one")
+    ranked = F.array_sort(F.transform("s", lambda h: F.struct(F.element_at("seen", bucket(h) + 1).alias("c"), h.alias("h"))))
+    return joined.select(*classes.columns, F.transform(ranked, lambda x: x["h"]).alias("o"))
+
+
 def jaccard_edges(df: DataFrame, id: str, text: str, threshold: float, k: int = 5, compatibility: bool = False) -> DataFrame:
     """Exact Jaccard similarity of shingle sets between class representatives: ``id_a, id_b, similarity``.
 
     Rows of equal shingle sets are one class, named by its least id. A prefix filter finds the pairs
     without comparing all: with shingles in order of rarity, two sets of similarity s must share one
     of the first |A| - ceil(s·|A|) + 1 shingles of each, and |A| >= s·|B|. Empty sets are in no pair.
+    A shingle of many sets is split over tasks.
     """
     sets = df.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.array_sort(F.array_distinct(F.transform(tx.shingles(tx.normalize(F.col(text), compatibility), k), lambda g: F.xxhash64(g)))).alias("s"))
     classes = materialize(sets.where(F.size("s") > 0).groupBy(F.md5(F.concat_ws(",", "s")).alias("k")).agg(F.min("id").alias("id"), F.any_value("s").alias("s")).select("id", "s"), "sets")
-    each = classes.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    counted = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
-    ordered = counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
-    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select("id", "n", F.col("p.h").alias("h"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    keep = F.size("s") - F.ceil(F.size("s") * threshold).cast("int") + 1
+    prefix = _by_rarity(classes).select("id", F.size("s").alias("n"), F.explode(F.slice("o", F.lit(1), keep)).alias("h"))
+    near = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
+    pairs = pairs_of_equal_keys(prefix, "h", "id", ("n",)).where(near).select("id_a", "id_b").distinct()
     sa, sb = (classes.select(F.col("id").alias(f"id_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
     both = F.size(F.array_intersect("s_a", "s_b"))
     similarity = both / (F.size("s_a") + F.size("s_b") - both)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.shared import materialize
+from tessera.shared import discard, materialize
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Edges are undirected; loops, repeats and null ends are ignored, an empty table gives an empty
     result. Ids may be of any ordered type. The rounds grow with the logarithm of the longest chain;
-    each round is written to the shared folder, so a lost executor costs one round at most.
+    each round is written to the shared folder, so a lost executor costs one round at most. A node's
+    least neighbour is pre-aggregated; where the neighbours of one node are a large share of all edges,
+    the adaptive skew join splits them, as only its least neighbour is on the other side.
     """
     a, b = F.col(src), F.col(dst)
     now = materialize(
@@ -37,7 +39,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
     mark = None
     for _ in range(max_rounds):
-        now = materialize(_step(_step(now, True), False), "stars")
+        before, now = now, materialize(_step(_step(now, True), False), "stars")
+        discard(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen.n, seen.h) == mark:
             break

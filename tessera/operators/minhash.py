@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tessera.operators.pairing import MOST_ROWS, pairs_of_equal_keys
+
 PRIME = (1 << 61) - 1
-BUCKET_CAP = 5000
+BUCKET_CAP = 5000  # fixed value: ids of a bucket that can be found, where a cap is wanted
 
 
 @cache
@@ -165,21 +167,28 @@ def bucket_stats(bands: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
     return sizes.agg(F.count("*").alias("buckets"), F.count(F.when(F.col("n") > cap, 1)).alias("saturated"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
 
 
-def lsh_candidates(bands: DataFrame, cap: int | None = BUCKET_CAP) -> DataFrame:
+def lsh_candidates(bands: DataFrame, cap: int | None = None) -> DataFrame:
     """Different pairs ``(id_a, id_b)``, id_a < id_b, with a bucket in common.
 
-    Ids are ordered as the rows were inserted. Of each bucket the first ``cap`` ids can be found by
-    others; later ones still look. ``cap=None`` finds every pair. Buckets of one id never reach the join.
+    Without ``cap`` every pair is found. Ids are ordered as the rows were inserted; with a ``cap``, only
+    the first ``cap`` ids of a bucket can be found by others; later ones still look. Buckets of one id
+    never reach the join with a cap, and hot buckets are split over tasks in either way.
     """
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key", (F.col("n") > F.lit(cap or 2**62)).alias("hot"))
-    rows = bands.join(shared, ["band", "key"])
-    stored = rows.select("band", "key", F.col("id").alias("id_a"))
-    if cap is not None:
-        rank = F.row_number().over(W.partitionBy("band", "key").orderBy("id"))
-        hot = rows.where("hot").withColumn("n", rank).where(F.col("n") <= cap).select("band", "key", F.col("id").alias("id_a"))
-        stored = rows.where("NOT hot").select("band", "key", F.col("id").alias("id_a")).union(hot)
-    probe = rows.select("band", "key", F.col("id").alias("id_b"))
-    return stored.join(probe, ["band", "key"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+    if cap is None:
+        keyed = bands.select(F.xxhash64("band", "key").alias("key"), "id")
+        return pairs_of_equal_keys(keyed, "key", "id").select("id_a", "id_b").distinct()
+    sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = bands.join(sizes, ["band", "key"]).withColumn("parts", F.ceil(F.col("n") / MOST_ROWS).cast("int"))
+
+    def first(ids: DataFrame, *within: str) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("band", "key", *within).orderBy("id"))
+        return ids.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
+
+    large = rows.where(F.col("n") > cap).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    stored = rows.where(F.col("n") <= cap).unionByName(first(first(large, "salt").drop("salt")))
+    stored = stored.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("id_a"))
+    probe = rows.select("band", "key", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("id_b"))
+    return stored.join(probe, ["band", "key", "part"]).where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
 def verified_edges(candidates: DataFrame, signed: DataFrame, id: str, signature: str, threshold: float) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.shared import materialize
+
 
 @dataclass
 class Shape:
@@ -200,8 +202,6 @@ def json_levels(df: DataFrame, key: str, text: str) -> list[Level]:
     the row's own; null places are counted and are no rows. A list right inside a list is called '[]'.
     Records delivered again give their rows again. Each level is written once and read by the next.
     """
-    from tessera.plans.shared import materialize
-
     def written(listed: DataFrame, place: Column, name: str) -> DataFrame:
         value = F.col("e.value")
         rows = listed.select("parent_id", "list", place.alias("places"), _kind(value).alias("kind"), F.to_json(value).alias("j")).where("kind <> 'VOID'")

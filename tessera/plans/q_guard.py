@@ -9,7 +9,7 @@ from tessera.functions import jsonx
 from tessera.functions import text as tx
 from tessera.operators import bpe
 from tessera.operators import heal as hl
-from tessera.plans.shared import spread, table
+from tessera.shared import spread, table
 
 _KEYS = [" sk-ant-" + "a1" * 12, " sk-" + "b2" * 12, " Bearer " + "c3" * 12, " ?key=abc&x=1", " AIza" + "d" * 35]
 _SECRET = " ".join(_KEYS)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tessera.functions import numeric as nx
 from tessera.functions import text as tx
 from tessera.operators import models as md
-from tessera.plans.shared import table
+from tessera.shared import table
 
 X, W, B = ["l_quantity", "l_discount", "l_tax"], [0.5, -2.0, 1.5], 0.25
 LAYERS = [([[0.1, -0.2, 0.3], [0.4, 0.5, -0.6]], [0.01, -0.02]), ([[0.7, -0.8]], [0.05])]

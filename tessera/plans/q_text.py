@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import dedup
 from tessera.operators import minhash as mh
-from tessera.plans.shared import spread, table
+from tessera.shared import spread, table
 
 K = 32
 THRESHOLD = 0.7
@@ -107,7 +107,7 @@ def dedup_shortest(spark, d):
 
 def dedup_reference_hash(spark, d):
     """The flagship: the whole pipeline with its production parameters."""
-    return dedup.deduplicate(_docs(spark, d), "doc_id", "text").select(F.col("id").alias("doc_id"), "component", "is_kept")
+    return dedup.deduplicate(_docs(spark, d), "doc_id", "text", cap=mh.BUCKET_CAP).select(F.col("id").alias("doc_id"), "component", "is_kept")
 
 
 def lsh_params_curve(spark, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as vx
 from tessera.operators import vectordb as db
-from tessera.plans.shared import shared_dir, table
+from tessera.shared import shared_dir, table
 from tessera.sources import collections as col
 
 QUERY = [round(0.1 * ((i * 7) % 11 - 5), 1) for i in range(64)]

@@ -1,78 +1,3 @@
-"""Tables written between the steps of a plan, in a folder that every executor can read."""
+"""The former place of ``tessera.shared``."""
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-_SHIPPED: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it.
-
-    Only where the setting is missing, as in tests on one machine, a local temporary folder is used.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _OWN[app]
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended already: the cluster clears the folder
-        pass
-
-
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, no executor holds it.
-
-    The table outlives lost executors; it goes when the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of the folder ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scanned table over at least as many partitions as there are cores.
-
-    A small file of one row group would keep a single core busy; a table that already has partitions
-    enough is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application, so that Python workers can import it anywhere."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    import shutil
-    from pathlib import Path
-
-    root = Path(__file__).resolve().parents[2]
-    at = tempfile.mkdtemp(prefix="tessera-ship-")
-    atexit.register(shutil.rmtree, at, True)
-    shutil.copytree(root / "tessera", f"{at}/tree/tessera", ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/tessera", "zip", f"{at}/tree"))
-    _SHIPPED.add(app)
+from tessera.shared import *  # noqa: F403

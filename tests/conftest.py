@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tessera.plans.shared import ship
+    from tessera.shared import ship
 
     s = (
         SparkSession.builder.master("local[4]")

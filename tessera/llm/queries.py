@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import binpack, cutoff, encode, neardup, similar, spam, textform
-from tessera.plans.shared import table
+from tessera.shared import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,10 @@ def p1_form(spark: SparkSession, d: str) -> DataFrame:
     return textform.with_form(table(spark, d, "corpus").select("ord", "text")).select("ord", "form")
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return textform.same_reading_groups(table(spark, d, "corpus"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(spark.read.parquet(f"{d}/corpus.parquet"), threshold=0.6, k=3)
 

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.pairing import hot_keys, pairs_of_equal_keys
+from tessera.shared import materialize
+
 # Letters of other alphabets and the Latin letter that each is drawn like.
 LOOK_ALIKES = {
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ": "ABEZHIKMNOPTYXCJ",  # Greek capitals
@@ -51,18 +54,20 @@ def _maps() -> tuple[str, str, dict[str, str]]:
     """Sources and targets of the one-to-one mapping, and the mapping of joined characters to several.
 
     Built from the character database by rule: a character is followed through its compatibility
-    decomposition of a class in SEEN_ALIKE, its base through LOOK_ALIKES, and composed again.
+    decomposition of a class in SEEN_ALIKE until LOOK_ALIKES knows it, and composed again.
     """
     alike = {a: b for one, other in LOOK_ALIKES.items() for a, b in zip(one, other, strict=True)}
 
     def seen(ch: str) -> str:
+        if ch in alike:
+            return alike[ch]
         parts = unicodedata.decomposition(ch).split()
         if parts and parts[0].startswith("<"):
             if parts[0] not in SEEN_ALIKE:
                 return ch
             parts = parts[1:]
         if not parts:
-            return alike.get(ch, ch)
+            return ch
         return "".join(seen(chr(int(x, 16))) for x in parts)
 
     single, several = {}, {}
@@ -142,27 +147,40 @@ def key128(column: Column | str) -> Column:
     return F.unhex(F.md5(F.col(column) if isinstance(column, str) else column))
 
 
+def _writings(df: DataFrame, order: str, text: str) -> DataFrame:
+    """``(ord, k, raw)``: the keys of form and writing of every visible text, each ``ord`` once (of several texts the least key)."""
+    rows = with_form(df.select(F.col(order).alias("ord"), F.col(text).alias("text")).where("ord IS NOT NULL AND text IS NOT NULL"))
+    rows = rows.where("form <> ''").select("ord", key128("form").alias("k"), key128("text").alias("raw"))
+    return materialize(rows.groupBy("ord").agg(F.min(F.struct("k", "raw")).alias("x")).select("ord", "x.*"), "forms")
+
+
 def same_reading_pairs(df: DataFrame, order: str = "ord", text: str = "text") -> DataFrame:
     """Pairs ``(ord_a, ord_b)``, ord_a < ord_b, of records whose texts read the same but differ in characters.
 
     Null and blank texts and a null ``order`` are never in a pair; rows delivered again count once.
-    Only keys with at least two different writings reach the join: a group of exact copies, however
-    large, is dropped by a pre-aggregated min/max comparison before anything is paired.
+    Different writings of a form are paired, not records; records are joined to the pairs at the end,
+    those of a common writing in parts, so that no task holds a hot form or writing whole. Exact copies
+    are never paired with each other.
     """
-    rows = (
-        with_form(df.select(F.col(order).alias("ord"), F.col(text).alias("text")).where("ord IS NOT NULL AND text IS NOT NULL"))
-        .where("form <> ''")
-        .select("ord", key128("form").alias("k"), key128("text").alias("raw"))
-        .distinct()
-    )
-    from tessera.plans.shared import materialize
-
-    rows = materialize(rows, "forms")
+    rows = _writings(df, order, text)
     mixed = rows.groupBy("k").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("k")
-    left = rows.join(mixed, "k", "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    return (
-        a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.ord") < F.col("b.ord")))
-        .select(F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"))
-        .distinct()
-    )
+    rows = materialize(rows.join(mixed, "k", "left_semi"), "mixed")
+    hot = hot_keys(rows, "raw")
+    if hot is None:
+        rows = rows.withColumn("part", F.lit(0))
+    else:
+        rows = rows.join(hot, "raw", "left").withColumn("part", F.pmod(F.xxhash64("ord"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    units = rows.groupBy("k", "raw", "part").agg(F.lit(1).alias("one")).withColumn("unit", F.struct("raw", "part"))
+    pairs = pairs_of_equal_keys(units, "k", "unit").where("unit_a.raw <> unit_b.raw")
+    a, b = (rows.select(F.struct("raw", "part").alias(f"unit_{s}"), F.col("ord").alias(s)) for s in "ab")
+    return pairs.join(a, "unit_a").join(b, "unit_b").select(F.least("a", "b").alias("ord_a"), F.greatest("a", "b").alias("ord_b"))
+
+
+def same_reading_groups(df: DataFrame, order: str = "ord", text: str = "text") -> DataFrame:
+    """One row per visible record: ``ord``, ``class_id`` (least ord of those that read the same), ``writings`` of the
+    class, and ``links``: how many records read the same in other characters. No pairs are made."""
+    rows = _writings(df, order, text)
+    writings = rows.groupBy("k", "raw").agg(F.count("*").alias("copies"), F.min("ord").alias("least"))
+    classes = writings.groupBy("k").agg(F.min("least").alias("class_id"), F.count("*").alias("writings"), F.sum("copies").alias("members"))
+    known = writings.join(classes, "k").select("raw", "class_id", "writings", (F.col("members") - F.col("copies")).alias("links"))
+    return rows.select("ord", "raw").join(known, "raw").select("ord", "class_id", "writings", "links")

@@ -15,6 +15,31 @@ def test_same_reading(spark):
     assert got == {(1, 2), (1, 3), (2, 3), (2, 9), (3, 9), (12, 13), (15, 16)}
 
 
+def test_every_listed_look_alike_comes_out_as_listed(spark):
+    listed = [(a, b) for one, other in textform.LOOK_ALIKES.items() for a, b in zip(one, other, strict=True)]
+    df = spark.createDataFrame([(i, f"x{a}y", f"x{b}y") for i, (a, b) in enumerate(listed)], "i int, text string, want string")
+    assert [(r.text, r.form) for r in textform.with_form(df).collect() if r.form != r.want] == []
+
+
+def test_groups_of_one_reading(spark):
+    df = spark.createDataFrame(ROWS, "ord long, text string")
+    got = {r.ord: (r.class_id, r.writings, r.links) for r in textform.same_reading_groups(df.union(df.where("ord = 2"))).collect()}
+    assert got[1] == got[9] == (1, 3, 2) and got[2] == got[3] == (1, 3, 3) and got[12] == (12, 2, 1) and got[4] == (4, 1, 0)
+    assert set(got) == {o for o, t in ROWS if o not in (6, 7, 8, 14)}
+
+
+def test_hot_writings_are_split(spark, monkeypatch):
+    from tessera.operators import pairing
+
+    rows = [(i, ["same text", "ｓame text", "same  text", "other"][i % 4]) for i in range(60)]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x != y and "other" not in (x, y)}
+    for most in (4, 20_000):
+        monkeypatch.setattr(textform, "hot_keys", lambda df, key, most=most: pairing.hot_keys(df, key, most))
+        monkeypatch.setattr(textform, "pairs_of_equal_keys", lambda df, key, id, most=most: pairing.pairs_of_equal_keys(df, key, id, (), most))
+        got = [tuple(r) for r in textform.same_reading_pairs(spark.createDataFrame(rows, "ord long, text string")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_form_keeps_columns_and_nulls(spark):
     df = spark.createDataFrame([(None, "a  b", "x"), (2, None, "y"), (3, " ", "z")], "i long, text string, form string")
     got = textform.with_form(df)

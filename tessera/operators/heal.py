@@ -49,7 +49,7 @@ INSTRUCCIONES DE CORRECCIÓN:
 1. Corrige ÚNICAMENTE los campos indicados en los errores.
 2. Responde SOLO con el objeto JSON corregido, sin texto conversacional adicional.
 3. Asegúrate de que TODOS los campos requeridos estén presentes y con el tipo correcto."""
-MAX_LOGGED = 10_000
+MAX_LOGGED = 10_000  # characters of an answer that the history keeps by default
 
 
 class Client(Protocol):
@@ -104,8 +104,12 @@ def with_retry(send: Callable[[], Any], retries: int = 3, base: float = 1.0, sle
     raise AssertionError
 
 
-def run_one(prompt: str | None, model: type, client: Client, retries: int = 2, native: bool = True) -> dict[str, Any]:
-    """The result of one prompt: at most ``retries`` + 1 attempts, ended early by success, truncation or a repeated error."""
+def run_one(prompt: str | None, model: type, client: Client, retries: int = 2, native: bool = True, logged: int | None = MAX_LOGGED, asked: int | None = MAX_PROMPT_CHARS, read: int | None = jsonx.MAX_CHARS) -> dict[str, Any]:
+    """The result of one prompt: at most ``retries`` + 1 attempts, ended early by success, truncation or a repeated error.
+
+    ``asked``, ``read`` and ``logged`` limit the characters of the prompt that are sent, of an answer
+    that are searched for JSON, and of an answer that the history keeps; None takes the whole.
+    """
     used = {"prompt_tokens": 0, "completion_tokens": 0}
     history: list[dict[str, Any]] = []
 
@@ -117,7 +121,7 @@ def run_one(prompt: str | None, model: type, client: Client, retries: int = 2, n
     schema = model.model_json_schema()
     shown = json.dumps(schema, indent=2, ensure_ascii=False)
     system = {"role": "system", "content": SYSTEM_PROMPT.replace("{schema}", shown)}
-    escaped = prompt[:MAX_PROMPT_CHARS].replace("<", "&lt;").replace(">", "&gt;")
+    escaped = prompt[:asked].replace("<", "&lt;").replace(">", "&gt;")
     ask, before = UNTRUSTED_HEAD + escaped + UNTRUSTED_TAIL, None
     for attempt in range(1, retries + 2):
         messages = [system, {"role": "user", "content": ask}]
@@ -128,18 +132,18 @@ def run_one(prompt: str | None, model: type, client: Client, retries: int = 2, n
             answer = client.complete_structured(messages, schema) if structured else client.complete(messages)
         except Exception as e:
             clean = sanitized(str(e))
-            record |= {"raw_response": clean[:MAX_LOGGED], "finish_reason": "ERROR", "validation_error": API_ERROR + clean}
+            record |= {"raw_response": clean[:logged], "finish_reason": "ERROR", "validation_error": API_ERROR + clean}
             ask = CORRECTION_PROMPT.replace("{schema}", shown).replace("{errors}", before or "")
             continue
         record["token_usage"] = {k: int(answer.get(k) or 0) for k in used}
         for k in used:
             used[k] += record["token_usage"][k]
         text, reason = answer.get("text") or "", answer.get("finish_reason") or ""
-        record |= {"raw_response": text[:MAX_LOGGED], "finish_reason": reason, "validation_error": None}
+        record |= {"raw_response": text[:logged], "finish_reason": reason, "validation_error": None}
         if reason.upper() in ("LENGTH", "MAX_TOKENS"):
             record["validation_error"] = TRUNCATED
             return done(False, attempt, error=TRUNCATED_ADVICE)
-        value, error = jsonx.validate(jsonx.extract(text)[0], model)
+        value, error = jsonx.validate(jsonx.extract(text, read)[0], model)
         record["validation_error"] = error
         if error is None:
             return done(True, attempt, data=value.model_dump_json())
@@ -150,24 +154,25 @@ def run_one(prompt: str | None, model: type, client: Client, retries: int = 2, n
     return done(False, retries + 1, error=before)
 
 
-def heal(df: DataFrame, prompt: str, model: type, client: Callable[[], Client], retries: int = 2, native: bool = True) -> DataFrame:
+def heal(df: DataFrame, prompt: str, model: type, client: Callable[[], Client], retries: int = 2, native: bool = True, logged: int | None = MAX_LOGGED, asked: int | None = MAX_PROMPT_CHARS, read: int | None = jsonx.MAX_CHARS) -> DataFrame:
     """``df`` with the columns of RESULT for the prompts in ``prompt``.
 
     One client is made per partition and closed at its end. A lost task sends its prompts again, so
-    the client should answer a repeated prompt from a store. Null and blank prompts fail at once.
+    the client should answer a repeated prompt from a store. Null and blank prompts fail at once. The
+    limits are those of ``run_one``.
     """
     names = [x.split(" ", 1)[0] for x in ("success boolean", "data string", "attempts int", "total_tokens x", "history x", "error string")]
     df = df.drop(*[n for n in names if n != prompt])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = client()
+        one = client()
         try:
             for part in parts:
-                made = [run_one(p, model, asked, retries, native) for p in part[prompt]]
+                made = [run_one(p, model, one, retries, native, logged, asked, read) for p in part[prompt]]
                 yield part.assign(**{n: [m[n] for m in made] for n in names})
         finally:
-            if callable(close := getattr(asked, "close", None)):
+            if callable(close := getattr(one, "close", None)):
                 close()
 
     return df.mapInPandas(run, f"{kept}, {RESULT}")

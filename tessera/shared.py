@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -69,6 +70,12 @@ def clear(spark: SparkSession) -> None:
         _drop(spark, _STEPS.pop())
 
 
+def broadcast_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` written as a step, to be broadcast if it has at most ``most`` rows, else joined as any other table."""
+    made = materialize(df, "small")
+    return F.broadcast(made) if made.limit(most + 1).count() <= most else made
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the folder ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -40,6 +40,10 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_rates(cutoff.cut_calls(table(spark, d, "llm_responses"), table(spark, d, "extraction_results")))
 
 
+def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_evidence(cutoff.cut_calls(table(spark, d, "llm_responses"), table(spark, d, "extraction_results")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return similar.nearest_pairs(similar.usable_vectors(spark.read.parquet(f"{d}/vector_store.parquet")))
 

@@ -53,3 +53,24 @@ def test_parts_of_words_decide_short_answers_and_lists(spark):
     tokens = F.when(F.col("id") < 100, F.ceil(F.length("text") / 4)).otherwise(F.col("n"))
     got = cutoff.cut_records(df, "s", ["id"], "text", F.lit("STOP"), tokens)
     assert {r.id for r in got.where("is_cut").collect()} == {i for i, _, _ in cut}
+
+
+def test_the_trie_judges_the_other_evidence(spark):
+    said = [(i, f"The patrol number {i} searched the warehouse near the river with a torch", "LENGTH") for i in range(60)]
+    whole = [(1000 + i, f"The keeper number {i} closed the warehouse near the river with a torch.", "STOP") for i in range(60)]
+    df = spark.createDataFrame(said + whole, "id long, text string, reason string").withColumn("s", F.lit("s"))
+    run = lambda d: cutoff.cut_records(d, "s", ["id"], "text", F.col("reason"), F.lit(None))
+    assert run(df).where("is_cut").isEmpty()  # a source that always says so and never ends inside a word: refuted
+    cut = df.withColumn("text", F.when(F.col("id") % 3 == 0, F.regexp_replace("text", "orch$", "o")).otherwise(F.col("text")))
+    found = run(cut).where("is_cut")
+    assert {r.id for r in found.collect()} == set(range(60))
+    assert {r.evidence for r in found.collect()} == {"part", "reason"}
+    assert sum(r.cut for r in cutoff.cut_evidence(run(cut)).collect()) == 60
+
+
+def test_deep_nesting_and_long_words(spark):
+    assert shape("[" * 100_000) == "open"
+    long = "z" * 60
+    words = spark.createDataFrame([(long + "abc", 2), (long + "q", 1)], "word string, cnt long")
+    ends = spark.createDataFrame([(long + "a", 1), (long + "b", 1), (long + "abc", 1)], "last string, ends long")
+    assert [r.last for r in cutoff.word_parts(words, ends).collect()] == [long + "a"]

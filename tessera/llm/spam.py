@@ -1,32 +1,36 @@
 """Pages of repeated keywords, links, tags or menu entries instead of sentences (problem 9).
 
-Content and link features of every page are computed in one pass. Bagged decision trees are trained on
-a bounded sample of weakly labelled pages (ratings and labelling rules, outvoting each other's errors)
-and score every page; the scores are then smoothed by the share of spam on the page's host.
+Content and link features of every page are computed in one pass. Several weak labellers vote on each
+page, none of which decides alone: a label model learned from how often they agree, over all pages,
+gives a probability. Bagged decision trees are trained on a bounded sample of those labels and of
+ratings, which replace them, and score every page; the scores are smoothed by the share of spam on the
+page's host, as far as hosts differ by more than chance.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.shared import materialize
+from tessera.shared import broadcast_small, materialize
 
-SAMPLE_ROWS = 8_000  # most rated and most rule-labelled rows that the trees are fitted on, each
-FEATURES = ["prose", "junk", "links", "tags", "types", "top", "pairs", "short", "breaks", "ends", "caps", "stuffed", "words", "common"]
+SPAM_ROWS, ORDINARY_ROWS, RATED_ROWS = 4_000, 12_000, 8_000  # about so many rows the trees are fitted on, however many pages there are
+FEATURES = ["prose", "junk", "links", "tags", "types", "top", "pairs", "short", "breaks", "ends", "caps", "stuffed", "words", "common", "packed", "letters", "span", "capital"]
 
 _MARKUP = re.compile(r"<a\b[^>]*>|</a>|\[[^\]\n]*\]\([^)\n]*\)|\(?https?://\S+|\bwww\.\S+|#\w+", re.I)
 _HINT = re.compile(r"[^\W\d_]\.[^\W\d_]|\bdot\b", re.I)
 _DOMAIN = re.compile(r"(?<![\w.-])[\w-]+(?:(?:\.| dot | \[dot\] | \(dot\) )[^\W\d_][\w-]*)+(?:/\S*)?", re.I)
 _SEGMENT = re.compile(r"\n+|(?<=[.!?;])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W_]+")
+_CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _BREAK = re.compile(r"[|>·•»/,]| [-–] ")
 _ENDING = re.compile(r"[.!?。！？…][\"'”’»)\]]*$")
@@ -87,7 +91,7 @@ def page_features(text: str) -> list[float]:
         m = len(s) - s.count(" ")
         if s[0].isupper() or s[0] in "¿¡0123456789[":
             caps += m
-        if s[-1] in ".!?。！？…" or _ENDING.search(s):
+        if s[-1] in ".!?;。！？…" or _ENDING.search(s):
             ends += m
         breaks += len(_BREAK.findall(s))
         if _sentence(s, ws, often):
@@ -101,7 +105,7 @@ def page_features(text: str) -> list[float]:
         links / size,
         tags / size,
         len(set(low)) / n if n else 0.0,
-        max(content.values()) / total if total else 0.0,
+        (max(content.values()) - 1) / total if total else 0.0,
         sum(c for c in pairs.values() if c > 2) / max(1, n - 1),
         sum(1 for w in low if len(w) <= 3 and not w.isdigit()) / max(1, n),
         breaks / max(1, n),
@@ -110,6 +114,10 @@ def page_features(text: str) -> list[float]:
         stuffed / size,
         math.log1p(n),
         max(Counter(segments).values()) / len(segments) if segments else 0.0,
+        len(zlib.compress(raw, 1)) / len(raw) if len(raw := text.encode(errors="replace")) > 200 else 0.6,
+        sum(map(len, low)) / max(1, n),
+        n / max(1, len(segments)),
+        len(_CAPITAL.findall(text)) / max(1, n),
     ]
 
 
@@ -126,12 +134,45 @@ def with_features(df: DataFrame, doc_id: str, text: str, host: str) -> DataFrame
     return rows.mapInArrow(run, f"doc_id {kind}, host string, " + ", ".join(f"{f} double" for f in FEATURES)).where("words > 0 OR junk > 0").dropDuplicates(["doc_id"])
 
 
-def rule_vote(x: dict[str, F.Column] | None = None) -> F.Column:
-    """A labelling rule's vote: 1 spam, -1 ordinary, 0 no opinion."""
+def labellers() -> dict[str, tuple[Column, Column]]:
+    """Weak labellers, each with when it takes a page for spam and when for ordinary; at both or neither it has no opinion.
+
+    Each looks at another side of a page: links, function words, repetition, ends of sentences, the form
+    of sentences, breaks and stuffing.
+    """
     c = F.col
-    spam = (c("prose") < 0.2) & ((c("words") > math.log1p(4)) | (c("junk") > 0.5)) & ((c("junk") > 0.5) | (c("breaks") > 0.25) | (c("pairs") > 0.3) | (c("short") < 0.1) | (c("stuffed") > 0.5) | (c("ends") < 0.1))
-    good = (c("prose") > 0.75) & (c("junk") < 0.2) & (c("stuffed") < 0.2)
-    return F.when(spam, F.lit(1)).when(good, F.lit(-1)).otherwise(F.lit(0))
+    worded = lambda n: c("words") > math.log1p(n)
+    return {
+        "links": (c("junk") > 0.5, (c("junk") < 0.02) & worded(25)),
+        "function_words": ((c("short") < 0.12) & worded(6), c("short") > 0.2),
+        "repetition": (((c("top") > 0.12) | (c("types") < 0.25)) & worded(20), (c("top") < 0.08) & (c("types") > 0.3)),
+        "ends": ((c("ends") < 0.3) & worded(6), c("ends") > 0.6),
+        "sentences": (c("prose") < 0.3, c("prose") > 0.7),
+        "breaks": ((c("breaks") > 0.25) | (c("stuffed") > 0.4), (c("breaks") < 0.12) & (c("stuffed") < 0.1)),
+    }
+
+
+def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
+    """Log odds of spam: a constant, and one number for each labeller and vote (-1, 0, 1), shape (labellers, 3).
+
+    ``votes`` are the different rows of votes and ``counts`` how many pages have each. The labellers'
+    accuracies are unknown: expectation-maximisation from the majority, votes independent given the truth.
+    """
+    weights = np.zeros((votes.shape[1], 3))
+    if not len(votes):
+        return 0.0, weights
+    total = votes.sum(axis=1)
+    p = np.where(total > 0, 0.9, 0.05)
+    for _ in range(rounds):
+        spam, rest = counts * p, counts * (1 - p)
+        base = math.log((spam.sum() + 0.5) / (rest.sum() + 0.5))
+        for j in range(votes.shape[1]):
+            for v in (-1, 0, 1):
+                here = votes[:, j] == v
+                weights[j, v + 1] = math.log((spam[here].sum() + 0.5) / (spam.sum() + 1.5)) - math.log((rest[here].sum() + 0.5) / (rest.sum() + 1.5))
+        odds = base + sum(weights[j][votes[:, j] + 1] for j in range(votes.shape[1]))
+        p = 1 / (1 + np.exp(-odds))
+    return base, weights
 
 
 Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # feature (-1: leaf), threshold, left child, value
@@ -194,38 +235,89 @@ def score(trees: list[Tree], x: np.ndarray) -> np.ndarray:
     return total / len(trees)
 
 
-def spam_scores(pages: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", rated: str = "is_spam", smoothing: float = 0.25, prior: float = 20.0) -> DataFrame:
-    """``doc_id, host, score, host_rate, smoothed, is_spam`` of every page with something visible in its text.
+def labelled(features: DataFrame) -> DataFrame:
+    """``features`` with ``label``, the label model's probability of spam. To the driver comes one row a pattern of votes, 3^6 at most."""
+    rules = labellers()
+    votes = {f"v_{n}": F.when(spam & ~good, 1).when(good & ~spam, -1).otherwise(0) for n, (spam, good) in rules.items()}
+    voted = features.withColumns(votes)
+    rows = voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()
+    base, weights = label_model(np.array([[r[v] for v in votes] for r in rows], int).reshape(-1, len(votes)), np.array([r.n for r in rows], float))
+    odds = F.lit(float(base))
+    for v, w in zip(votes, weights.tolist(), strict=True):
+        odds = odds + F.element_at(F.array(*map(F.lit, w)), F.col(v) + 2)
+    return voted.withColumn("label", 1 / (1 + F.exp(-odds))).drop(*votes)
 
-    ``ratings`` may repeat, contradict or be null or empty. Pages of a null host are not smoothed. The
-    trees see at most SAMPLE_ROWS rated and SAMPLE_ROWS rule-labelled pages, chosen by a hash of the
-    id; features, scores and host rates cover all pages. An empty table gives an empty result.
+
+def training_rows(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a sample of rated pages and of pages labelled spam and ordinary, by thresholds of the id's hash.
+
+    The thresholds follow from the counts, so that about RATED_ROWS, SPAM_ROWS and ORDINARY_ROWS rows at
+    most reach the driver, whatever the number of pages and partitions. A rating is the label of its page.
+    """
+    kind = F.when(F.col("rating").isNotNull(), "rated").when(F.col("label") > 0.5, "spam").otherwise("ordinary")
+    known = known.withColumn("kind", kind)
+    most = {"rated": RATED_ROWS, "spam": SPAM_ROWS, "ordinary": ORDINARY_ROWS}
+    n = {r.kind: r.n for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(0.0)
+    for name, rows in most.items():
+        share = F.when(F.col("kind") == name, min(1.0, rows / n.get(name, 1))).otherwise(share)
+    place = F.xxhash64("doc_id", F.lit(5)).bitwiseAND(F.lit(2**53 - 1)) / float(2**53)
+    rows = known.where(place < share).select(F.coalesce("rating", "label").alias("y"), F.xxhash64("doc_id").alias("h"), *FEATURES).collect()
+    rows.sort(key=lambda r: (r.h, *r[2:]))  # the same trees whatever the order of arrival
+    return np.array([r[2:] for r in rows], np.float64).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], np.float64)
+
+
+def host_rates(scored: DataFrame) -> DataFrame:
+    """``host, spam, n, rate, strength``: each host's spam and pages, the share over all, and how many pages of that share to add.
+
+    The strength is estimated by moments from how much hosts differ: if they differ no more than chance
+    does it is very large and no host moves a page; if they differ much it is small.
+    """
+    one = F.when(F.col("score") > 0.5, 1.0).otherwise(0.0)
+    hosts = scored.where("host IS NOT NULL").groupBy("host").agg(F.sum(one).alias("spam"), F.count("*").alias("n"))
+    sums = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum("spam").alias("spam"), F.sum(F.col("n") * F.col("n")).alias("square"), F.sum(F.col("spam") * F.col("spam") / F.col("n")).alias("within")).first()
+    if not sums.hosts:
+        return hosts.withColumns({"rate": F.lit(0.0), "strength": F.lit(1.0)})
+    rate = (sums.spam + 0.5) / (sums.n + 1)
+    spread = sums.within - sums.spam**2 / sums.n - (sums.hosts - 1) * rate * (1 - rate)
+    room = sums.n - sums.square / sums.n
+    between = spread / room if room > 0 and spread > 0 else 0.0
+    strength = min(1e9, max(1.0, rate * (1 - rate) / between - 1)) if between > 0 else 1e9
+    return hosts.withColumns({"rate": F.lit(float(rate)), "strength": F.lit(float(strength))})
+
+
+def spam_scores(pages: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", rated: str = "is_spam", smoothing: float = 0.5) -> DataFrame:
+    """``doc_id, host, label, score, host_rate, smoothed, is_spam`` of every page with something visible in its text.
+
+    ``ratings`` may repeat, contradict or be null or empty; of contradicting ones the majority counts,
+    a tie is none. ``label`` is the label model's probability, ``score`` the share of the trees. Pages of
+    a null host are not smoothed; ``host_rate`` leaves the page itself out. The trees are fitted on a
+    bounded sample (see ``training_rows``); features, labels, scores and host rates cover all pages. An
+    empty table gives an empty result.
     """
     features = materialize(with_features(pages, doc_id, text, host), "features")
-    votes = ratings.where(F.col(rated).isin(0, 1)).groupBy(F.col(doc_id).alias("doc_id")).agg(F.sum(F.col(rated) * 2 - 1).alias("rating"))
-    voted = features.join(votes, "doc_id", "left").withColumn("rule", rule_vote()).withColumn("vote", F.coalesce(F.signum("rating"), F.lit(0.0)) + F.col("rule") * 1.5)
-    by_hash = F.xxhash64("doc_id")
-    columns = [F.col("vote"), *map(F.col, FEATURES)]
-    known = [*voted.where("rating IS NOT NULL AND vote <> 0").orderBy(by_hash, "doc_id").limit(SAMPLE_ROWS).select(*columns).collect(), *voted.where("rule <> 0").orderBy(by_hash, "doc_id").limit(SAMPLE_ROWS).select(*columns).collect()]
-    x = np.array([r[1:] for r in known], np.float64).reshape(-1, len(FEATURES))
-    y = np.array([float(r[0] > 0) for r in known])
+    rating = F.sum(F.col(rated) * 2 - 1)
+    votes = ratings.where(F.col(rated).isin(0, 1)).groupBy(F.col(doc_id).alias("doc_id")).agg(F.when(rating != 0, (rating > 0).cast("double")).alias("rating"))
+    known = labelled(features)
+    x, y = training_rows(known.join(votes, "doc_id", "left"))
     trees = features.sparkSession.sparkContext.broadcast(fit_bag(x, y))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.stack([b.column(2 + i).to_numpy() for i in range(len(FEATURES))], axis=1) if len(b) else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score(trees.value, x))], names=["doc_id", "host", "score"])
+            x = np.stack([b.column(3 + i).to_numpy() for i in range(len(FEATURES))], axis=1) if len(b) else np.zeros((0, len(FEATURES)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(score(trees.value, x))], names=["doc_id", "host", "label", "score"])
 
     kind = features.schema["doc_id"].dataType.simpleString()
-    scored = materialize(features.mapInArrow(run, f"doc_id {kind}, host string, score double"), "scores")
-    one = F.when(F.col("score") > 0.5, 1.0).otherwise(0.0)
-    overall = scored.agg(F.coalesce(F.avg(one), F.lit(0.0)).alias("rate"))
-    hosts = scored.where("host IS NOT NULL").groupBy("host").agg(F.sum(one).alias("spam"), F.count("*").alias("n"))
+    scored = known.select("doc_id", "host", "label", *FEATURES).mapInArrow(run, f"doc_id {kind}, host string, label double, score double")
+    scored = materialize(scored, "scores")
 
-    def logit(p: F.Column) -> F.Column:
+    def logit(p: Column) -> Column:
         q = F.greatest(F.lit(0.002), F.least(F.lit(0.998), p))
         return F.log(q / (1 - q))
 
-    rates = hosts.crossJoin(F.broadcast(overall)).select("host", ((F.col("spam") + prior * F.col("rate")) / (F.col("n") + prior)).alias("host_rate"), "rate")
-    smoothed = logit(F.col("score")) + smoothing * F.coalesce(logit(F.col("host_rate")) - logit(F.col("rate")), F.lit(0.0))
-    return scored.join(rates, "host", "left").select("doc_id", "host", "score", "host_rate", (1 / (1 + F.exp(-smoothed))).alias("smoothed")).withColumn("is_spam", F.col("smoothed") > 0.5)
+    own = F.when(F.col("score") > 0.5, 1.0).otherwise(0.0)
+    joined = scored.join(broadcast_small(host_rates(scored)), "host", "left")
+    others = (F.col("spam") - own + F.col("strength") * F.col("rate")) / (F.col("n") - 1 + F.col("strength"))
+    joined = joined.withColumn("host_rate", others)
+    moved = logit(F.col("score")) + smoothing * F.coalesce(logit(F.col("host_rate")) - logit(F.col("rate")), F.lit(0.0))
+    return joined.select("doc_id", "host", "label", "score", "host_rate", (1 / (1 + F.exp(-moved))).alias("smoothed")).withColumn("is_spam", F.col("smoothed") > 0.5)

@@ -33,3 +33,31 @@ def test_features_are_defined():
     for text in ("", " ", "!", "x", "#a #b", "語" * 500, "word " * 20_000):
         values = spam.page_features(text)
         assert len(values) == len(spam.FEATURES) and all(v == v for v in values)
+
+
+def test_no_labeller_decides_alone():
+    import numpy as np
+
+    votes = np.array([[1, 1, 1, 1, 1, 1], [-1, -1, -1, -1, -1, -1], [1, -1, -1, -1, -1, -1], [-1, -1, -1, -1, 1, -1]])
+    base, weights = spam.label_model(votes, np.array([50.0, 900.0, 3.0, 3.0]))
+    odds = [base + sum(weights[j][v + 1] for j, v in enumerate(row)) for row in votes]
+    assert odds[0] > 0 and max(odds[1:]) < 0
+    assert spam.label_model(np.zeros((0, 6), int), np.zeros(0))[0] == 0.0
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(spam, "ORDINARY_ROWS", 200)
+    known = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(None).cast("double").alias("rating"), F.when(F.col("id") < 50, 0.9).otherwise(0.1).alias("label"), *[F.lit(1.0).alias(f) for f in spam.FEATURES])
+    x, y = spam.training_rows(known.withColumn("rating", F.when(F.col("doc_id") == 7, 0.0)))
+    assert (y > 0.5).sum() == 49 and 120 < (y < 0.5).sum() < 290 and x.shape[1] == len(spam.FEATURES) and (y == 0).sum() == 1
+
+
+def test_hosts_move_doubtful_pages_only_if_they_differ(spark):
+    rows = [(i, f"h{i % 10}", 1.0 if i % 10 < 2 else 0.0) for i in range(400)]
+    rates = spam.host_rates(spark.createDataFrame(rows, "doc_id long, host string, score double")).collect()
+    assert rates[0].strength < 5 and {r.host: r.spam for r in rates}["h0"] == 40
+    even = [(i, f"h{i % 10}", 1.0 if i // 10 % 5 == 0 else 0.0) for i in range(400)]
+    assert spam.host_rates(spark.createDataFrame(even, "doc_id long, host string, score double")).first().strength == 1e9
+    assert spam.host_rates(spark.createDataFrame([], "doc_id long, host string, score double")).count() == 0

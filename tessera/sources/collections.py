@@ -1,15 +1,17 @@
-"""Vector collections on disk: Parquet rows and a one-line JSON description, written last as the commit mark."""
+"""Vector collections on disk: folders of Parquet rows and a one-line JSON description, put in place last as the commit mark."""
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as vx
+from tessera.sources import files
 
 
 def checked_dim(dim: int) -> int:
@@ -29,15 +31,36 @@ def place(base: str, name: str) -> str:
 
 
 def save_collection(df: DataFrame, base: str, name: str, dim: int, metric: str = "cosine", id: str = "id", vector: str = "vector") -> str:
-    """Write a collection and return its folder. A vector or id that can't be stored, or a repeated id, raises before the commit mark."""
+    """Write a collection and return its folder.
+
+    The rows go to a folder of their own and are checked there; only then the description that names
+    it is put in place, and the former rows go. A vector or id that can't be stored, or a repeated id,
+    raises and leaves the former collection as it was.
+    """
     path, dim, metric = place(base, name), checked_dim(dim), vx.metric_of(metric)
-    df.write.mode("overwrite").parquet(f"{path}/rows")
-    seen = _checked(df.sparkSession.read.parquet(f"{path}/rows"), dim, id, vector)
-    meta = {"version": 1, "name": name, "dimension": dim, "metric": metric, "count": seen}
-    df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    spark = df.sparkSession
+    rows = f"rows-{uuid.uuid4().hex}"
+    before = _descriptions(spark, path)
+    df.write.parquet(f"{path}/{rows}")
+    try:
+        seen = _checked(spark.read.parquet(f"{path}/{rows}"), dim, id, vector)
+    except Exception:
+        files.delete(spark, f"{path}/{rows}")
+        raise
+    number = before[-1] + 1 if before else 1
+    meta = {"version": number, "name": name, "dimension": dim, "metric": metric, "count": seen, "rows": rows}
+    files.put(spark, f"{path}/meta/{number:09d}.json", json.dumps(meta))
+    for old in before:
+        known = json.loads(files.read(spark, f"{path}/meta/{old:09d}.json"))
+        files.delete(spark, f"{path}/meta/{old:09d}.json")
+        files.delete(spark, f"{path}/{known['rows']}")
     return path
 
 
+def _descriptions(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.removesuffix(".json")) for n in files.names(spark, f"{path}/meta") if re.fullmatch(r"\d{9}\.json", n))
+
+
 def _checked(rows: DataFrame, dim: int, id: str, vector: str) -> int:
     bad = vx.reject_reason(F.col(vector), dim).isNotNull() | ~vx.valid_id(F.col(id).cast("string"))
     seen = rows.agg(F.count("*").alias("n"), F.count(F.when(bad, 1)).alias("bad"), F.countDistinct(id).alias("ids")).first()
@@ -50,12 +73,12 @@ def load_collection(spark: SparkSession, base: str, name: str, dim: int | None =
     """Rows and description of a saved collection. The stored metric is adopted; another ``dim`` than the stored one raises."""
     path = place(base, name)
     try:
-        meta = json.loads(spark.read.text(f"{path}/meta").first().value)
+        meta = json.loads(files.read(spark, f"{path}/meta/{_descriptions(spark, path)[-1]:09d}.json"))
     except Exception as e:
         raise FileNotFoundError(f"no readable collection {name!r}") from e
     if dim is not None and dim != meta["dimension"]:
         raise ValueError(f"dimension {dim} differs from the stored {meta['dimension']}")
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/{meta['rows']}")
     if validate and _checked(rows, meta["dimension"], id, vector) != meta["count"]:
         raise ValueError("the number of rows differs from the description")
     return rows, meta

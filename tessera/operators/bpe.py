@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as tx
+from tessera.shared import discard, materialize
 
 Pair = tuple[int, int]
-HEADER = "bpe_tokenizer v1"  # fixed value: first line of a model file
+# The first line of a model file and the words that begin its parts.
+HEADER, PATTERN, SPECIALS, MERGES = "bpe_tokenizer v1", "pattern", "special_tokens_count", "merges_count"
 
 
 def pair_stats(df: DataFrame, ids: str) -> DataFrame:
@@ -50,7 +56,11 @@ def piece_counts(df: DataFrame, text: str, pattern: str | None) -> DataFrame:
 
 
 def learn_merges(pieces: list[tuple[str, int]], size: int) -> dict[Pair, int]:
-    """Merges up to ``size`` ids from counted pieces; counts are kept up to date where a merge changes them."""
+    """Merges up to ``size`` ids from counted pieces; counts are kept up to date where a merge changes them.
+
+    The best pair comes from a heap of counts as they were when they last changed; those that have
+    changed since are passed over.
+    """
     seqs = [list(p.encode()) for p, _ in pieces]
     freq = [n for _, n in pieces]
     counts: Counter[Pair] = Counter()
@@ -59,28 +69,108 @@ def learn_merges(pieces: list[tuple[str, int]], size: int) -> dict[Pair, int]:
         for p in zip(s, s[1:], strict=False):
             counts[p] += freq[i]
             where[p].add(i)
+    heap = [(-n, p) for p, n in counts.items()]
+    heapify(heap)
     merges: dict[Pair, int] = {}
-    for new in range(256, size):
-        live = [(-n, p) for p, n in counts.items() if n > 0]
-        if not live:
-            break
-        best = min(live)[1]
+    while len(merges) < size - 256 and heap:
+        n, best = heappop(heap)
+        if counts[best] != -n or not n:
+            continue
+        new = 256 + len(merges)
         merges[best] = new
+        changed: set[Pair] = set()
         for i in where.pop(best):
-            s, out, j = seqs[i], [], 0
-            for p in zip(s, s[1:], strict=False):
-                counts[p] -= freq[i]
-            while j < len(s):
-                if j + 1 < len(s) and (s[j], s[j + 1]) == best:
-                    out.append(new)
-                    j += 2
-                else:
-                    out.append(s[j])
-                    j += 1
-            seqs[i] = out
-            for p in zip(out, out[1:], strict=False):
-                counts[p] += freq[i]
+            before = seqs[i]
+            after = _merged(before, {best: new})
+            for pairs, sign in ((zip(before, before[1:], strict=False), -freq[i]), (zip(after, after[1:], strict=False), freq[i])):
+                for p in pairs:
+                    counts[p] += sign
+                    changed.add(p)
+            for p in zip(after, after[1:], strict=False):
                 where[p].add(i)
+            seqs[i] = after
+        for p in changed:
+            if counts[p] > 0:
+                heappush(heap, (-counts[p], p))
+            else:
+                del counts[p]
+    return merges
+
+
+def _merged(ids: list[int], merges: dict[Pair, int]) -> list[int]:
+    """``ids`` with the pairs of ``merges`` replaced, from the left and without overlaps."""
+    out: list[int] = []
+    at, last = 0, len(ids) - 1
+    while at <= last:
+        new = merges.get((ids[at], ids[at + 1])) if at < last else None
+        out.append(ids[at] if new is None else new)
+        at += 1 if new is None else 2
+    return out
+
+
+def independent(ranked: list[tuple[Pair, int]]) -> list[Pair]:
+    """The first pairs of a ranking (largest count first) that can be merged in one round with the result of merging one by one.
+
+    Their ids are all different, so no merge changes another's count; and a pair that a merge makes
+    occurs at most as often as the ranked pair it takes an id from, so nothing new can come before them
+    while the first pair that shares an id with them is rarer. The first pair can always be merged.
+    """
+    used: set[int] = set()
+    chosen: list[tuple[Pair, int]] = []
+    for pair, n in ranked:
+        if used & set(pair):
+            rarer = [p for p, m in chosen if m > n]
+            return rarer or [chosen[0][0]]
+        used |= set(pair)
+        chosen.append((pair, n))
+    return [p for p, n in chosen if n > ranked[-1][1]] or [p for p, _ in chosen[:1]]
+
+
+def learn_merges_on_cluster(pieces: DataFrame, size: int, looked_at: int = 2_000) -> dict[Pair, int]:
+    """The same merges as ``learn_merges``, from a table ``piece, freq`` of any size.
+
+    A round counts the pairs of all pieces on the cluster, brings the ``looked_at`` most frequent to the
+    driver, and merges as many of them as are independent. Pieces never leave the cluster.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pa.array([list(p.encode()) for p in b.column(0).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, b.column(1)], names=["ids", "freq"])
+
+    seqs = materialize(pieces.mapInArrow(split, "ids array<int>, freq bigint"), "pieces")
+    merges: dict[Pair, int] = {}
+    while len(merges) < size - 256:
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(0).flatten().to_numpy().astype(np.int64)
+                ends = np.cumsum(pc.list_value_length(b.column(0)).to_numpy())
+                if len(ids) < 2:
+                    continue
+                inside = np.ones(len(ids) - 1, bool)
+                inside[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(ids))] - 1] = False
+                owner = np.searchsorted(ends, np.arange(len(ids) - 1), "right")
+                keys, place = np.unique((ids[:-1] << 32 | ids[1:])[inside], return_inverse=True)
+                sums = np.zeros(len(keys), np.int64)
+                np.add.at(sums, place, b.column(1).to_numpy()[owner[inside]])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["pair", "n"])
+
+        top = seqs.mapInArrow(counted, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(looked_at).collect()
+        if not top:
+            break
+        round_ = independent([((r.pair >> 32, r.pair & 0xFFFFFFFF), r.n) for r in top])[: size - 256 - len(merges)]
+        made = {p: 256 + len(merges) + i for i, p in enumerate(round_)}
+        merges |= made
+
+        def merged(batches: Iterator[pa.RecordBatch], made: dict[Pair, int] = made) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = pa.array([_merged(s, made) for s in b.column(0).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, b.column(1)], names=["ids", "freq"])
+
+        before, seqs = seqs, materialize(seqs.mapInArrow(merged, "ids array<int>, freq bigint"), "pieces")
+        discard(before)
+    discard(seqs)
     return merges
 
 
@@ -94,26 +184,34 @@ class BpeModel:
 
     @classmethod
     def train(cls, df: DataFrame, text: str, size: int, pattern: str | None = tx.GPT4_SPLIT, most_pieces: int = 2_000_000) -> BpeModel:
-        """A model of ``size`` ids. The cluster counts different pieces; the merge loop runs on the counts.
+        """A model of ``size`` ids, from the different pieces and their counts.
 
-        More than ``most_pieces`` different pieces raise: choose a pattern, or sample the corpus.
+        Up to ``most_pieces`` different pieces the merge loop runs on the driver; beyond, on the cluster
+        (``learn_merges_on_cluster``), with the same result.
         """
         if size < 256:
             raise ValueError("size must be at least 256")
-        counted = piece_counts(df.select(tx.checked_bytes(F.col(text)).alias("text")), "text", pattern).persist()
-        try:
-            if counted.count() > most_pieces:
-                raise ValueError(f"more than {most_pieces} different pieces")
-            pieces = [(r.piece, r.freq) for r in counted.orderBy("piece").toLocalIterator()]
-        finally:
-            counted.unpersist()
-        return cls(learn_merges(pieces, size), pattern)
+        counted = materialize(piece_counts(df.select(tx.checked_bytes(F.col(text)).alias("text")), "text", pattern), "counts")
+        if counted.count() > most_pieces:
+            return cls(learn_merges_on_cluster(counted, size), pattern)
+        return cls(learn_merges([(r.piece, r.freq) for r in counted.toLocalIterator()], size), pattern)
 
     def with_specials(self, specials: dict[str, int]) -> BpeModel:
-        """The model with these special tokens; negative or repeated ids raise. A special id hides a merge of the same id."""
-        if any(i < 0 for i in specials.values()) or len(set(specials.values())) < len(specials):
-            raise ValueError("special ids must be different and not negative")
-        return BpeModel(self.merges, self.pattern, dict(specials))
+        """The model with these special tokens added. A token that it has already gets the new id.
+
+        Empty tokens, ids that are negative or no whole numbers, and ids that another token has, raise. A
+        special id hides a merge of the same id.
+        """
+        for token, id in specials.items():
+            if not isinstance(token, str) or not token:
+                raise ValueError("a special token must be a text that is not empty")
+            if isinstance(id, bool) or not isinstance(id, int) or id < 0:
+                raise ValueError(f"the id of {token!r} must be a whole number that is not negative")
+        taken = {i: t for t, i in self.specials.items()}
+        for token, id in specials.items():
+            if taken.setdefault(id, token) != token:
+                raise ValueError(f"id {id} belongs to {taken[id]!r}")
+        return BpeModel(self.merges, self.pattern, self.specials | specials)
 
     @cached_property
     def vocabulary(self) -> dict[int, bytes]:
@@ -128,18 +226,10 @@ class BpeModel:
         """Ids of one piece: the merge of lowest id first, until none fits."""
         s = list(piece.encode())
         while len(s) > 1:
-            at = min((self.merges.get(p, 2**62) for p in zip(s, s[1:], strict=False)))
-            if at == 2**62:
+            first = min(zip(s, s[1:], strict=False), key=lambda p: self.merges.get(p, 2**62))
+            if first not in self.merges:
                 break
-            out, j = [], 0
-            while j < len(s):
-                if j + 1 < len(s) and self.merges.get((s[j], s[j + 1])) == at:
-                    out.append(at)
-                    j += 2
-                else:
-                    out.append(s[j])
-                    j += 1
-            s = out
+            s = _merged(s, {first: self.merges[first]})
         return s
 
     def encoder(self, allowed: str | set[str] = "none_raise") -> Callable[[str], list[int]]:
@@ -207,9 +297,9 @@ class BpeModel:
 
     def dumps(self) -> str:
         """The model as text."""
-        lines = [HEADER, f"pattern {json.dumps((self.pattern or '').replace('(?U)', ''))}", f"special_tokens_count {len(self.specials)}"]
+        lines = [HEADER, f"{PATTERN} {json.dumps((self.pattern or '').replace('(?U)', ''))}", f"{SPECIALS} {len(self.specials)}"]
         lines += [f"{json.dumps(s)} {i}" for s, i in sorted(self.specials.items(), key=lambda x: x[1])]
-        lines += [f"merges_count {len(self.merges)}", *[f"{a} {b} {i}" for (a, b), i in sorted(self.merges.items(), key=lambda x: x[1])]]
+        lines += [f"{MERGES} {len(self.merges)}", *[f"{a} {b} {i}" for (a, b), i in sorted(self.merges.items(), key=lambda x: x[1])]]
         return "\n".join(lines) + "\n"
 
     @classmethod
@@ -226,9 +316,9 @@ class BpeModel:
         if next(lines, "") != HEADER:
             raise ValueError("unknown header")
         try:
-            pattern = json.loads(tail("pattern"))
-            specials = {json.loads(s): int(i) for s, i in (next(lines).rsplit(" ", 1) for _ in range(int(tail("special_tokens_count"))))}
-            merges = {(a, b): i for a, b, i in (map(int, next(lines).split()) for _ in range(int(tail("merges_count"))))}
+            pattern = json.loads(tail(PATTERN))
+            specials = {json.loads(s): int(i) for s, i in (next(lines).rsplit(" ", 1) for _ in range(int(tail(SPECIALS))))}
+            merges = {(a, b): i for a, b, i in (map(int, next(lines).split()) for _ in range(int(tail(MERGES))))}
         except (StopIteration, RuntimeError) as e:
             raise ValueError("the model ends early") from e
         model = cls(merges, f"(?U){pattern}" if pattern else None, specials)

@@ -49,7 +49,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
-    near = similar.nearest(similar.usable_vectors(table(spark, d, "vector_store")))
+    near = similar.nearest(similar.usable_vectors(table(spark, d, "vector_store")), miss=0.00003)
     return near.withColumn("cosine", F.round("cosine", 6))
 
 

@@ -9,7 +9,7 @@ matrix product and exactly ranked in double precision; of several meetings only
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.operators.graph import connected_components
-from tessera.shared import materialize
+from tessera.shared import broadcast_small, discard, materialize
 
 HIT = 0.58  # measured share of pairs of cosine 0.8 that meet in one table of one rotation with two probes (64 dimensions)
-CELL_ROWS, SPLIT_ROWS, CHUNK = 16_384, 16_384, 2_000_000
+CELL_ROWS, BUCKET_ROWS, CHUNK = 16_384, 200_000, 2_000_000
+PACK_ROWS = 5_000  # vectors that are packed at once
 EXACT_ROWS = 100_000  # products in double precision at once
 
 
@@ -57,29 +58,38 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.float32(math.sqrt(d))
 
 
-def cells(unit: np.ndarray, t: Tables) -> np.ndarray:
-    """Cells of unit rows, shape (rows, tables, looks); the first look of a table is where the row is stored."""
+def axes(unit: np.ndarray, t: Tables) -> np.ndarray:
+    """The nearest signed axes of unit rows, nearest first: shape (rows, tables, depth, probes), of the smallest type that holds them."""
     n, dim = unit.shape
     d = 1 << (dim - 1).bit_length()
     x0 = np.zeros((n, d), np.float32)
     x0[:, :dim] = unit
     rng = np.random.default_rng(t.seed)
-    out = np.zeros((n, t.count, t.looks), np.int32)
+    out = np.zeros((n, t.count, t.depth, t.probes), np.uint8 if 2 * d <= 256 else np.int32)
+    rows = np.arange(n)
     for i in range(t.count):
-        code = np.zeros((n, 1), np.int32)
-        for _ in range(t.depth):
-            x = x0
+        for j in range(t.depth):
+            turn = np.eye(d, dtype=np.float32)
             for _ in range(3):
-                x = _hadamard(x * rng.choice(np.array([-1, 1], np.float32), d))
+                turn = _hadamard(turn * rng.choice(np.array([-1, 1], np.float32), d))
+            x = x0 @ turn
             size = np.abs(x)
-            best = np.argpartition(-size, t.probes - 1, axis=1)[:, : t.probes] if t.probes < d else np.argsort(-size, axis=1)
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(size, best, 1), axis=1, kind="stable"), 1)
-            axis = (best * 2 + (np.take_along_axis(x, best, 1) < 0)).astype(np.int32)
-            code = (code[:, :, None] * np.int32(2 * d) + axis[:, None, :]).reshape(n, -1)
-        out[:, i] = code
+            for k in range(t.probes):
+                best = size.argmax(axis=1)
+                out[:, i, j, k] = best * 2 + (x[rows, best] < 0)
+                size[rows, best] = -1
     return out
 
 
+def cells(near: np.ndarray, t: Tables, dim: int) -> np.ndarray:
+    """Numbers of the cells that rows of ``axes`` look into, shape (rows, tables, looks); in the first of a table the row is stored."""
+    d = 1 << (dim - 1).bit_length()
+    out = np.zeros((len(near), t.count, 1), np.int64)
+    for j in range(t.depth):
+        out = (out[:, :, :, None] * (2 * d) + near[:, :, j, None, :]).reshape(len(near), t.count, -1)
+    return out * t.count + np.arange(t.count)[None, :, None]
+
+
 def usable_vectors(df: DataFrame, id: str = "id", vector: str = "vector", seq: str = "seq", dim: int = 64) -> DataFrame:
     """``(id, vec)``: the usable vector of largest ``seq`` of each id, as the bytes of its float32 components.
 
@@ -98,10 +108,17 @@ def usable_vectors(df: DataFrame, id: str = "id", vector: str = "vector", seq: s
     return rows.mapInArrow(packed, "id string, seq bigint, vec binary").groupBy("id").agg(F.max_by("vec", "seq").alias("vec"))
 
 
+def _packed(column: pa.ChunkedArray | pa.Array, kind: np.dtype) -> np.ndarray:
+    """The bytes of a binary column without nulls, all of one length, as rows of numbers."""
+    one = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(one):
+        return np.zeros((0, 1), kind)
+    ends = np.frombuffer(one.buffers()[1], np.int32)[one.offset : one.offset + len(one) + 1]
+    return np.frombuffer(one.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(one), -1)
+
+
 def _floats(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    n = len(column)
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, np.float32).reshape(n, -1) if n else np.zeros((0, 1), np.float32)
+    return _packed(column, np.float32)
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -110,73 +127,156 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _meetings(vectors: DataFrame, t: Tables, extra: list[str]) -> DataFrame:
-    """Rows ``(cell, split, stored, id, vec, codes, *extra)``: each vector once for every cell it looks into.
+def _strings(packs: list[bytes], counts: list[int]) -> pa.Array:
+    """One string array of packs that hold the ends of their strings and then the bytes of them."""
+    ends, data, start = [np.zeros(1, np.int64)], [], 0
+    for pack, n in zip(packs, counts, strict=True):
+        ends.append(np.frombuffer(pack, np.int32, n).astype(np.int64) + start)
+        data.append(pack[4 * n :])
+        start += len(data[-1])
+    return pa.LargeStringArray.from_buffers(sum(counts), pa.py_buffer(np.concatenate(ends).tobytes()), pa.py_buffer(b"".join(data))).cast(pa.string())
+
 
-    A cell of more than SPLIT_ROWS stored rows is split: its stored rows are spread by a hash of their
-    id over the parts, those who look get a copy for every part, so no task holds an unbounded cell.
+def _pack_strings(ids: pa.Array, order: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    taken = ids.take(pa.array(order))
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1]
+    data = memoryview(taken.buffers()[2] or b"")
+    return [(ends[a + 1 : b + 1] - ends[a]).astype(np.int32).tobytes() + bytes(data[ends[a] : ends[b]]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _bucket(cell: np.ndarray, buckets: int) -> np.ndarray:
+    x = cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) % np.uint64(buckets)).astype(np.int32)
+
+
+def _meetings(vectors: DataFrame, t: Tables, weight: str, asks: str | None = None) -> DataFrame:
+    """Packs ``(bucket, buckets, split, stored, looks, n, id, vec, axes, weight, asks)`` of vectors for the cells they look into.
+
+    Cells are dealt to buckets by a hash, about BUCKET_ROWS looks to each, and a vector is sent to a
+    bucket once, for all its cells there: they follow from ``axes``, the nearest axes of all tables in a
+    byte each. A pack holds those of one Arrow batch, each column as bytes one after another. Only rows
+    with ``asks`` true look, if given. A bucket of more than twice BUCKET_ROWS, as a hot cell makes it, is
+    split on both sides: its packs are spread by a hash over p parts as stored and p as looking, and a
+    task holds one part of either, so no task holds an unbounded cell; a pack goes to 2p - 1 tasks.
     """
-    names = ["id", "vec", *extra]
-    fields = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in names)
+    fields = "id string, vec binary, weight bigint, asks boolean"
+    rows = vectors.select("id", "vec", F.col(weight).cast("long").alias("weight"), (F.col(asks) if asks else F.lit(True)).alias("asks"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            codes = cells(_unit(_floats(b.column(1))).astype(np.float32), t)
-            width = t.count * t.looks
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * 4), len(b), [None, pa.py_buffer(np.ascontiguousarray(codes).tobytes())]).cast(pa.binary())
-            flat = (codes.astype(np.int64) * t.count + np.arange(t.count)[None, :, None]).reshape(-1)
-            look = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * width), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*b.columns, raw, look], names=[*names, "codes", "look"])
-
-    rows = vectors.select(*names).mapInArrow(hashed, f"{fields}, codes binary, look array<bigint>")
-    each = rows.select(*names, "codes", F.posexplode("look").alias("p", "cell")).withColumn("stored", F.col("p") % t.looks == 0).drop("p")
-    sizes = rows.select(F.explode(F.filter("look", lambda x, i: i % t.looks == 0)).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > SPLIT_ROWS).select("cell", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-    return (
-        each.join(hot, "cell", "left")
-        .withColumn("home", mine)
-        .withColumn("split", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .withColumn("stored", F.col("stored") & (F.col("split") == F.col("home")))
-        .drop("parts", "home")
-    )
+            if len(b):
+                near = axes(_unit(_floats(b.column(1))).astype(np.float32), t)
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(near[0].nbytes), len(b), [None, pa.py_buffer(near.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns, raw], names=[*b.schema.names, "axes"])
+
+    rows = materialize(rows.mapInArrow(hashed, f"{fields}, axes binary"), "hashed")
+    width = t.count * t.looks
+    buckets = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, rows.count() * width // BUCKET_ROWS)
+
+    def sent(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors and axes of a batch, and its different (bucket, row), by bucket."""
+        vec = _packed(b.column(1), np.uint8)
+        near = _near(b.column(4), t, vec.shape[1] // 4)
+        cell = cells(near, t, vec.shape[1] // 4)
+        asking = b.column(3).to_numpy(zero_copy_only=False)
+        use = np.zeros(cell.shape, bool)
+        use[:, :, 0] = True  # where it is stored
+        use[asking] = True
+        row = np.repeat(np.arange(len(b)), width)
+        both = np.unique((_bucket(cell.reshape(-1), buckets).astype(np.int64) * len(b) + row)[use.reshape(-1)])
+        return vec, near.reshape(len(b), -1), both // len(b), both % len(b)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                bucket, n = np.unique(sent(b)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), PACK_ROWS):
+                b = whole.slice(at, PACK_ROWS)
+                vec, near, bucket, row = sent(b)
+                bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+                weights, asking = b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
+                cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary())  # noqa: B023, E731
+                columns = [pa.array(_pack_strings(b.column(0), row, bounds), pa.binary()), cut(vec[row]), cut(near[row]), cut(weights[row]), cut(asking[row])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[bounds[:-1]].astype(np.int32)), pa.array(np.diff(bounds).astype(np.int32)), *columns], names=["bucket", "n", "id", "vec", "axes", "weight", "asks"])
+
+    sizes = rows.mapInArrow(counted, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * BUCKET_ROWS)
+    hot = broadcast_small(sizes.select("bucket", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")))
+    packs = rows.mapInArrow(packed, "bucket int, n int, id binary, vec binary, axes binary, weight binary, asks binary").withColumn("buckets", F.lit(buckets))
+    if hot.isEmpty():
+        return packs.withColumns({"split": F.lit(0), "stored": F.lit(True), "looks": F.lit(True)})
+    here = lambda i, j, stored, looks: F.struct((i * F.col("parts") + j).alias("split"), stored.alias("stored"), looks.alias("looks"))
+    mine, other = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    as_stored = F.transform(other, lambda j: here(mine, j, F.lit(True), j == mine))
+    as_looking = F.transform(F.filter(other, lambda i: i != mine), lambda i: here(i, mine, F.lit(False), F.lit(True)))
+    joined = packs.join(hot, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return joined.withColumn("at", F.explode(F.concat(as_stored, as_looking))).select(*packs.columns, "at.*")
+
+
+def _near(column: pa.ChunkedArray | pa.Array, t: Tables, dim: int) -> np.ndarray:
+    d = 1 << (dim - 1).bit_length()
+    return _packed(column, np.uint8 if 2 * d <= 256 else np.int32).reshape(len(column), t.count, t.depth, t.probes)
 
 
-def _met(codes_q: np.ndarray, codes_x: np.ndarray, q: np.ndarray, x: np.ndarray, before: int) -> np.ndarray:
-    """Whether q met x in a table before table number ``before``."""
-    seen = np.zeros(len(q), bool)
+def _met(near_q: np.ndarray, near_x: np.ndarray, before: int) -> np.ndarray:
+    """Whether rows q met x in a table before number ``before``: x's nearest axis is among q's in every rotation."""
+    seen = np.zeros(len(near_q), bool)
     for i in range(before):
-        seen |= (codes_q[q, i, :] == codes_x[x, i, :1]).any(axis=1)
+        seen |= (near_q[:, i] == near_x[:, i, :, :1]).any(axis=2).all(axis=1)
     return seen
 
 
-def _blocks(t: Tables, table: pa.Table, least: float, rows: Callable) -> Iterator[tuple]:
-    """For chunks of those who look: (their numbers, stored numbers, cosines) of first meetings of cosine >= least.
+class Bucket:
+    """What one task holds of a bucket: unit rows, and for each of its cells who is stored and who looks."""
+
+    def __init__(self, t: Tables, table: pa.Table):
+        self.t = t
+        counts = table.column("n").to_pylist()
+        joined = {c: b"".join(table.column(c).to_pylist()) for c in ("vec", "axes", "weight", "asks")}
+        self.ids = _strings(table.column("id").to_pylist(), counts)
+        self.unit = _unit(np.frombuffer(joined["vec"], np.float32).reshape(len(self.ids), -1))
+        self.u32 = self.unit.astype(np.float32)
+        dim = self.unit.shape[1]
+        d = 1 << (dim - 1).bit_length()
+        self.near = np.frombuffer(joined["axes"], np.uint8 if 2 * d <= 256 else np.int32).reshape(len(self.ids), t.count, t.depth, t.probes)
+        self.weight = np.frombuffer(joined["weight"], np.int64)
+        stored = np.repeat(table.column("stored").to_numpy(), counts)
+        looks = np.repeat(table.column("looks").to_numpy(), counts) & np.frombuffer(joined["asks"], bool)
+        cell = cells(self.near, t, dim).reshape(len(self.ids), -1)
+        row, look = np.nonzero(_bucket(cell.reshape(-1), int(table.column("buckets")[0].as_py())).reshape(cell.shape) == int(table.column("bucket")[0].as_py()))
+        cell, first = cell[row, look], look % t.looks == 0
+        order = np.argsort(cell, kind="stable")
+        self.cell, self.row = cell[order], row[order]
+        self.stored, self.looking = (first & stored[row])[order], looks[row][order]
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For chunks of those who look into a cell: its table, their numbers, the stored ones', and all products in single precision."""
+        bounds = np.append(np.flatnonzero(np.append(True, self.cell[1:] != self.cell[:-1])), len(self.cell)) if len(self.cell) else [0]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            xs, looking = self.row[a:b][self.stored[a:b]], self.row[a:b][self.looking[a:b]]
+            if not len(xs):
+                continue
+            step = max(1, CHUNK // len(xs))
+            stored = np.ascontiguousarray(self.u32[xs].T)
+            for start in range(0, len(looking), step):
+                qs = looking[start : start + step]
+                yield int(self.cell[a] % self.t.count), qs, xs, self.u32[qs] @ stored
 
-    Where the table has a column ``asks``, only rows with it true look.
-    """
-    stored = table.column("stored").to_numpy()
-    unit = _unit(_floats(table.column("vec")))
-    u32 = unit.astype(np.float32)
-    codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int32).reshape(len(unit), t.count, t.looks)
-    number = int(table.column("cell")[0].as_py() % t.count)
-    xs = np.flatnonzero(stored)
-    step = max(1, CHUNK // max(1, len(xs)))
-    looking = np.flatnonzero(table.column("asks").to_numpy()) if "asks" in table.column_names else np.arange(len(unit))
-    for start in range(0, len(looking), step) if len(xs) else ():
-        qs = looking[start : start + step]
-        s = u32[qs] @ u32[xs].T
-        yield from rows(qs, xs, s, unit, codes, number)
-
-
-def nearest(df_vectors: DataFrame, k: int = 10, least: float | None = None, tables: Tables | None = None, dim: int = 64) -> DataFrame:
+    def exact(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.clip((self.unit[q] * self.unit[x]).sum(axis=1), -1.0, 1.0)
+
+    def first_time(self, q: np.ndarray, x: np.ndarray, table: int) -> np.ndarray:
+        return ~_met(self.near[q], self.near[x], table)
+
+
+def nearest(df_vectors: DataFrame, k: int = 10, least: float | None = None, tables: Tables | None = None, dim: int = 64, miss: float = 0.001) -> DataFrame:
     """``(id, rank, other, cosine)``: for every id of ``(id, vec)`` its ``k`` most similar others, as far as they meet.
 
     Equal cosines are ordered by the smaller other id. With ``least``, only others of at least this
-    cosine count. A pair of cosine 0.8 meets with probability 0.999, closer pairs with more. An empty
+    cosine count. A pair of cosine 0.8 meets with probability 1 - ``miss``, closer pairs with more. An empty
     table, or one vector alone, gives no rows.
 
     Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so only those are
@@ -184,30 +284,39 @@ def nearest(df_vectors: DataFrame, k: int = 10, least: float | None = None, tabl
     nearest others of each.
     """
     vectors = materialize(df_vectors, "vectors")
-    t = tables or tables_for(vectors.count(), dim)
-    floor = -2.0 if least is None else least
+    t = tables or tables_for(vectors.count(), dim, miss)
     most = k + 1
     margin = np.float32((dim + 4) * np.finfo(np.float32).eps)  # twice the error of a product in single precision
 
     def best(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("id").to_pylist(), object)
+        import pyarrow.compute as pc
+
+        cell = Bucket(t, table)
+        ids = cell.ids
         by_id = np.empty(len(ids), np.int64)
-        by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        by_id[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def rows(qs, xs, s, unit, codes, number):
-            hit = s >= np.float32(floor) - margin
-            thick = np.flatnonzero(hit.sum(axis=1) > most)
-            if len(thick):
-                kth = np.partition(s[thick], s.shape[1] - most, axis=1)[:, s.shape[1] - most]
-                hit[thick] &= s[thick] >= kth[:, None] - margin
-            r, c = np.nonzero(hit)
+        for number, qs, xs, s in cell.blocks():
+            if least is None:
+                kth = np.partition(s, len(xs) - most, axis=1)[:, len(xs) - most, None] if len(xs) > most else np.float32(-3)
+                flat = np.flatnonzero((s >= kth - margin).reshape(-1))
+                r, c = np.divmod(flat, len(xs))
+            else:
+                flat = np.flatnonzero(s.reshape(-1) >= np.float32(least) - margin)
+                r, c = np.divmod(flat, len(xs))
+                many = np.bincount(r, minlength=len(qs)) > most
+                if many.any():
+                    thick = np.flatnonzero(many)
+                    kth = np.full(len(qs), np.float32(-3))
+                    kth[thick] = np.partition(s[thick], len(xs) - most, axis=1)[:, len(xs) - most]
+                    ok = s.reshape(-1)[flat] >= kth[r] - margin
+                    r, c = r[ok], c[ok]
             start = 0
             while start < len(r):  # whole rows of those who look, near EXACT_ROWS products at a time
                 end = np.searchsorted(r, r[min(start + EXACT_ROWS, len(r)) - 1], "right")
                 q, x = qs[r[start:end]], xs[c[start:end]]
                 start = end
-                cos = np.clip((unit[q] * unit[x]).sum(axis=1), -1.0, 1.0)
+                cos = cell.exact(q, x)
                 if least is not None:
                     ok = cos >= least
                     q, x, cos = q[ok], x[ok], cos[ok]
@@ -215,20 +324,16 @@ def nearest(df_vectors: DataFrame, k: int = 10, least: float | None = None, tabl
                 q, x, cos = q[order], x[order], cos[order]
                 ok = np.arange(len(q)) - np.searchsorted(q, q, "left") < most
                 q, x, cos = q[ok], x[ok], cos[ok]
-                ok = ~_met(codes, codes, q, x, number)
+                ok = cell.first_time(q, x, number)
                 out.append((q[ok], x[ok], cos[ok]))
-            return ()
-
-        for _ in _blocks(t, table, floor, rows):
-            pass
         q = np.concatenate([o[0] for o in out]) if out else np.zeros(0, int)
         x = np.concatenate([o[1] for o in out]) if out else np.zeros(0, int)
         cos = np.concatenate([o[2] for o in out]) if out else np.zeros(0)
-        return pa.table({"first": pa.array(ids[q], pa.string()), "other": pa.array(ids[x], pa.string()), "cosine": pa.array(cos, pa.float64())})
+        return pa.table({"first": ids.take(pa.array(q)), "other": ids.take(pa.array(x)), "cosine": pa.array(cos, pa.float64())})
 
     place = F.row_number().over(W.partitionBy("vec").orderBy("id"))
-    few = vectors.withColumn("place", place).where(F.col("place") <= most).select("id", "vec", (F.col("place") == 1).alias("asks"))
-    met = _meetings(few, t, ["asks"]).where("asks OR stored").groupBy("cell", "split").applyInArrow(best, "first string, other string, cosine double")
+    few = vectors.withColumn("place", place).where(F.col("place") <= most).select("id", "vec", "place", (F.col("place") == 1).alias("asks"))
+    met = _meetings(few, t, "place", "asks").groupBy("bucket", "split").applyInArrow(best, "first string, other string, cosine double")
     rank = F.row_number().over(W.partitionBy("first").orderBy(F.desc("cosine"), "other"))
     top = met.withColumn("rank", rank).where(F.col("rank") <= most)
     lists = top.groupBy("first").agg(F.sort_array(F.collect_list(F.struct("rank", "other", "cosine"))).alias("near"))
@@ -244,114 +349,110 @@ def nearest_pairs(df_vectors: DataFrame, k: int = 10, least: float = 0.8, dim: i
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
-def density_peaks(df_vectors: DataFrame, least: float = 0.8, dim: int = 64, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
-    """Density peaks over the neighbours of cosine at least ``least``.
+def neighbourhoods(vectors: DataFrame, t: Tables, least: float, most: int = 32) -> DataFrame:
+    """Rows ``(id, n, other, cosine, link)`` about the neighbours of cosine at least ``least``, from one pass over the meetings.
 
-    Returns ``(id, density, parent, peak)`` of every vector that has a neighbour, and ``(a, b)``: pairs
-    of ids that belong together because a chain of neighbours inside one cell joins them. The density is
-    the number of neighbours; the parent is the most similar denser neighbour (equal densities: the
-    smaller id is denser); following parents ends at the peak, which has none.
+    ``vectors`` are ``(id, vec, weight)``, different vectors only. A row with ``n`` says that in one bucket
+    the neighbours that ``id`` meets for the first time have that weight; one with ``other`` and
+    ``cosine`` is one of the two nearest that are no less dense there, of the ``most`` nearest of a cell;
+    one with ``other`` and ``link`` says that a chain of neighbours joins both. So a bucket gives at most
+    four rows for each vector, not its pairs.
     """
-    vectors = materialize(df_vectors, "vectors")
-    t = tables or tables_for(vectors.count(), dim, 0.0002)
 
-    def hits(qs, xs, s, floor):
-        own = np.flatnonzero(np.isin(qs, xs))
-        s[own, np.searchsorted(xs, qs[own])] = -3
-        r, c = np.nonzero(s >= np.float32(floor - 1e-5))
-        return qs[r], xs[c], s[r, c]
-
-    def exact(q, x, s, unit):
-        """Only those that are at the threshold need the double-precision product."""
-        doubt = np.flatnonzero(s < np.float32(least + 1e-5))
-        ok = np.ones(len(q), bool)
-        ok[doubt] = (unit[q[doubt]] * unit[x[doubt]]).sum(axis=1) >= least
-        return q[ok], x[ok], s[ok]
-
-    def density(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("id").to_pylist(), object)
+    def run(table: pa.Table) -> pa.Table:
+        cell = Bucket(t, table)
+        ids, weight = cell.ids, cell.weight
         total = np.zeros(len(ids), np.int64)
-
-        def rows(qs, xs, s, unit, codes, number):
-            q, x, v = exact(*hits(qs, xs, s, least), unit)
-            ok = ~_met(codes, codes, q, x, number)
-            np.add.at(total, q[ok], 1)
-            return ()
-
-        for _ in _blocks(t, table, least, rows):
-            pass
-        at = np.flatnonzero(total)
-        return pa.table({"id": pa.array(ids[at], pa.string()), "n": pa.array(total[at], pa.int64())})
-
-    met = _meetings(vectors, t, []).groupBy("cell", "split").applyInArrow(density, "id string, n bigint")
-    dense = materialize(met.groupBy("id").agg(F.sum("n").alias("density")), "density")
-
-    def joined(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("id").to_pylist(), object)
-        rho = table.column("density").to_numpy()
-        rank = np.empty(len(ids), np.int64)
-        rank[np.lexsort((ids.astype(str), -rho))] = np.arange(len(ids))
-        same = {}
-        first = np.array([same.setdefault(i, n) for n, i in enumerate(ids)], np.int64)
-        label = first.copy()
-        parents: list[tuple] = []
-        edges: list[tuple] = []
-
-        def rows(qs, xs, s, unit, codes, number):
-            q, x, v = exact(*hits(qs, xs, s, least), unit)
-            up = rank[x] < rank[q]
-            a, b, w = q[up], x[up], v[up]
-            if len(a):
-                order = np.lexsort((rank[b], -w, a))
-                a, b, w = a[order], b[order], w[order]
-                head = np.concatenate([[True], a[1:] != a[:-1]])
-                parents.append((a[head], b[head], w[head]))
-            if len(q):
-                edges.append((first[q], first[x]))
-            return ()
-
-        for _ in _blocks(t, table, least, rows):
-            if sum(len(e[0]) for e in edges) > 4_000_000:
+        label = np.arange(len(ids))
+        near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for number, qs, xs, s in cell.blocks():
+            flat = np.flatnonzero(s.reshape(-1) >= np.float32(least - 1e-5))
+            v = s.reshape(-1)[flat]
+            r, c = np.divmod(flat, len(xs))
+            q, x = qs[r], xs[c]
+            ok = q != x
+            doubt = np.flatnonzero(ok & (v < np.float32(least + 1e-5)))  # only at the threshold is double precision needed
+            ok[doubt] = cell.exact(q[doubt], x[doubt]) >= least
+            q, x, v = q[ok], x[ok], v[ok]
+            ok = cell.first_time(q, x, number)
+            q, x, v = q[ok], x[ok], v[ok]
+            if not len(q):
+                continue
+            edges.append((q, x))
+            held += len(q)
+            if held > 4_000_000:
                 _settle(label, edges)
                 edges.clear()
+                held = 0
+            np.add.at(total, q, weight[x])
+            order = np.lexsort((-v, q))
+            q, x, v = q[order], x[order], v[order]
+            ok = np.arange(len(q)) - np.searchsorted(q, q, "left") < most
+            near.append((q[ok], x[ok], v[ok]))
         _settle(label, edges)
-        a = np.concatenate([p[0] for p in parents]) if parents else np.zeros(0, int)
-        b = np.concatenate([p[1] for p in parents]) if parents else np.zeros(0, int)
-        w = np.concatenate([p[2] for p in parents]) if parents else np.zeros(0)
-        star = np.flatnonzero((label[first] != first) & (first == np.arange(len(ids))))
-        kind = np.concatenate([np.zeros(len(a), bool), np.ones(len(star), bool)])
+        a, b, w = (np.concatenate([n[i] for n in near]) if near else np.zeros(0, kind) for i, kind in ((0, int), (1, int), (2, np.float32)))
+        heavy = total + weight  # of those that are denser here, the two nearest are named
+        ok = heavy[b] >= heavy[a]
+        a, b, w = a[ok], b[ok], w[ok]
+        order = np.lexsort((-w, a))
+        a, b, w = a[order], b[order], w[order]
+        ok = np.arange(len(a)) - np.searchsorted(a, a, "left") < 2
+        a, b, w = a[ok], b[ok], w[ok]
+        at = np.flatnonzero(total)
+        star = np.flatnonzero(label != np.arange(len(ids)))
+        left, right = np.concatenate([at, a, star]), np.concatenate([at, b, label[star]])
+        place = np.arange(len(left))
         return pa.table(
             {
-                "id": pa.array(np.concatenate([ids[a], ids[star]]), pa.string()),
-                "to": pa.array(np.concatenate([ids[b], ids[label[star]]]), pa.string()),
-                "w": pa.array(np.concatenate([w, np.zeros(len(star))]), pa.float64()),
-                "link": pa.array(kind),
+                "id": ids.take(pa.array(left)),
+                "n": pa.array(total[left], mask=place >= len(at)),
+                "other": pa.array(ids.take(pa.array(right)).to_pylist(), pa.string(), mask=place < len(at)),
+                "cosine": pa.array(np.concatenate([np.zeros(len(at), np.float32), w, np.zeros(len(star), np.float32)]).astype(np.float64), mask=(place < len(at)) | (place >= len(at) + len(a))),
+                "link": pa.array(place >= len(at) + len(a)),
             }
         )
 
-    known = vectors.join(dense, "id", "left").select("id", "vec", F.coalesce("density", F.lit(0).cast("long")).alias("density"))
-    known = materialize(known, "known")
-    out = materialize(
-        _meetings(known, t, ["density"])
-        .groupBy("cell", "split")
-        .applyInArrow(joined, "id string, to string, w double, link boolean")
-        .groupBy("id", "link", F.when(F.col("link"), F.col("to")).alias("k"))
-        .agg(F.max_by("to", "w").alias("to"), F.max("w").alias("w")),
-        "pointers",
-    )
-    links = out.where("link").select(F.col("id").alias("a"), F.col("to").alias("b"))
-    parent = out.where("NOT link").select("id", F.col("to").alias("parent"))
-    members = parent.select("id").union(parent.select("parent")).union(links.select("a")).union(links.select("b")).distinct()
-    start = members.join(parent, "id", "left").join(dense, "id", "left").select("id", F.coalesce("density", F.lit(0).cast("long")).alias("density"), "parent")
-    start = materialize(start, "parents")
+    return _meetings(vectors, t, "weight").groupBy("bucket", "split").applyInArrow(run, "id string, n bigint, other string, cosine double, link boolean")
+
+
+def density_peaks(df_vectors: DataFrame, least: float = 0.8, dim: int = 64, tables: Tables | None = None, most: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Density peaks over the neighbours of cosine at least ``least``.
+
+    Returns ``(id, density, parent, peak)`` of every vector that has a neighbour, and ``(a, b)``: pairs
+    of ids that belong together because a chain of neighbours inside one cell joins them. The density is
+    the number of neighbours, copies included; the parent is the most similar of the neighbours that
+    ``neighbourhoods`` names and that is denser over all (equal densities: the smaller id is denser); one
+    without such a neighbour is a peak; following parents ends at it. Of equal vectors the smallest id
+    is compared, the others have it as parent.
+    """
+    vectors = materialize(df_vectors, "vectors")
+    t = tables or tables_for(vectors.count(), dim, 0.0002)
+    classes = materialize(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
+    found = materialize(neighbourhoods(classes, t, least, most), "neighbours")
+    others = found.where("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("others"))
+    dense = classes.select("id", "weight").join(others, "id", "left").select("id", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("density"), "weight")
+    dense = materialize(dense.where("density > 0"), "density")
+    near = found.where("cosine IS NOT NULL").select("id", "other", "cosine")
+    near = near.join(dense.select("id", "density"), "id").join(dense.select(F.col("id").alias("other"), F.col("density").alias("above")), "other")
+    near = near.where((F.col("above") > F.col("density")) | (F.col("above") == F.col("density")) & (F.col("other") < F.col("id")))
+    parent = near.groupBy("id").agg(F.max_by("other", F.struct("cosine", "above", "other")).alias("parent"))
+    start = materialize(dense.join(parent, "id", "left").select("id", "density", "parent", "weight"), "parents")
     peaks = materialize(start.select("id", F.coalesce("parent", "id").alias("peak")), "peaks")
     while True:
         above = peaks.select(F.col("id").alias("peak"), F.col("peak").alias("higher"))
         after = materialize(peaks.join(above, "peak").select("id", F.col("higher").alias("peak"), (F.col("higher") != F.col("peak")).alias("moved")), "peaks")
-        peaks = after.select("id", "peak")
+        discard(peaks)
+        peaks = after
         if after.where("moved").isEmpty():
             break
-    return start.join(peaks, "id"), links
+    firsts = start.join(peaks.select("id", "peak"), "id")
+    copied = classes.where("weight > 1").select("vec", F.col("id").alias("first"))
+    copies = vectors.join(copied, "vec").where("id <> first").select("id", "first")
+    copies = copies.join(firsts.select(F.col("id").alias("first"), "density", "peak"), "first").select("id", "density", F.col("first").alias("parent"), "peak")
+    links = found.where("link").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return firsts.select("id", "density", "parent", "peak").union(copies), links
 
 
 def _settle(label: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]]) -> None:

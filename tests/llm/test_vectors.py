@@ -70,7 +70,7 @@ def test_recall_of_all_neighbours(spark):
 
 
 def test_copies_split_cells_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(similar, "SPLIT_ROWS", 8)
+    monkeypatch.setattr(similar, "BUCKET_ROWS", 8)
     one = [float(i % 5) - 1.5 for i in range(64)]
     df = spark.createDataFrame([(i, f"c{i:02d}", one) for i in range(30)], "seq long, id string, vector array<float>")
     vectors = similar.usable_vectors(df)
@@ -84,6 +84,18 @@ def test_copies_split_cells_and_empty(spark, monkeypatch):
     assert similar.similarity_clusters(similar.usable_vectors(df.limit(0))).count() == 0
 
 
+def test_split_buckets_give_the_same(spark, monkeypatch):
+    vectors = similar.usable_vectors(frame(spark, data(2)))
+    t = similar.Tables(8, 1)
+    whole = {tuple(r) for r in similar.nearest(vectors, 5, tables=t).collect()}
+    clusters = {tuple(r) for r in similar.similarity_clusters(vectors).select("id", "cluster_id", "density").collect()}
+    monkeypatch.setattr(similar, "PACK_ROWS", 20)
+    for most in (60, 400):
+        monkeypatch.setattr(similar, "BUCKET_ROWS", most)
+        assert {tuple(r) for r in similar.nearest(vectors, 5, tables=t).collect()} == whole
+        assert {tuple(r) for r in similar.similarity_clusters(vectors).select("id", "cluster_id", "density").collect()} == clusters
+
+
 def test_many_copies_and_near_copies_keep_the_exact_ten(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=64).astype(np.float32)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +43,8 @@ def nfkc(c: Column) -> Column:
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+        made = pc.utf8_normalize(pa.array(s, pa.string()), "NFKC")
+        return pd.Series(made.to_pylist(), index=s.index, dtype=object)
 
     return run(c)
 
@@ -143,10 +145,15 @@ def retry_after(header: Column, default: Column, most: float = 60.0) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(most), F.coalesce(F.trim(header).try_cast("double"), default)))
 
 
+def char_vocabulary(df: DataFrame, text: str) -> str:
+    """All characters of the texts, by code point: at most as many as Unicode has. Counted on the cluster."""
+    each = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("(?s)."), 0))).alias("ch"))
+    return "".join(sorted(r.ch for r in each.distinct().collect()))
+
+
 def char_encode(c: Column, vocabulary: str) -> Column:
     """Positions of the characters in ``vocabulary``; null for a text with another character."""
-    at = F.create_map(*[x for i, ch in enumerate(vocabulary) for x in (F.lit(ch), F.lit(i))])
-    ids = F.transform(F.split(c, ""), lambda ch: F.try_element_at(at, ch))
+    ids = F.transform(F.regexp_extract_all(c, F.lit("(?s)."), 0), lambda ch: F.nullif(F.instr(F.lit(vocabulary), ch), F.lit(0)) - 1)
     return F.when(F.length(c) == 0, F.array().cast("array<int>")).when(F.forall(ids, lambda i: i.isNotNull()), ids)
 
 

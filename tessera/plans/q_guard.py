@@ -57,6 +57,18 @@ def json_extract(spark, d):
     return _events(spark, d).select("event_id", jsonx.extract_json(text).alias("x")).select("event_id", "x.json", "x.strategy")
 
 
+def json_cascade(spark, d):
+    """Objects in fences, among noise, in need of repair, and none at all."""
+    broken = F.replace(F.replace("props", F.lit('"'), F.lit("'")), F.lit("}"), F.lit(" , }"))
+    text = F.element_at(F.array(F.concat(F.lit("see {x}\n```json\n"), "props", F.lit("\n``` end")), F.concat(F.lit("so "), "props", F.lit(" and }")), F.concat(F.lit("like "), broken), F.lit("{none} of [these")), (F.col("event_id") % 4 + 1).cast("int"))
+    return _events(spark, d).select("event_id", jsonx.extract_json(text).alias("x")).select("event_id", "x.json", "x.strategy")
+
+
+def text_checks(spark, d):
+    c = F.col("text")
+    return _docs(spark, d).select("doc_id", tx.within_bytes(c, 1000).alias("short"), tx.contains_special(c, ["the ", "<|end|>"]).alias("special"))
+
+
 def json_extract_responses(spark, d):
     rows = table(spark, d, "llm_responses").select("response_id", "text").distinct()
     return rows.select(jsonx.extract_json(F.col("text")).alias("x")).groupBy("x.strategy").agg(F.count("*").alias("n"), F.sum(F.length("x.json")).alias("chars"))
@@ -142,6 +154,12 @@ def bpe_encode(spark, d):
     return _docs(spark, d).select("doc_id", model.encode(F.col("text"), "none").alias("ids")).select("doc_id", F.size("ids").alias("n"), F.md5(F.concat_ws(",", "ids")).alias("digest"))
 
 
+def bpe_encode_whole(spark, d):
+    """Training and encoding of whole texts, without a split pattern."""
+    model = bpe.BpeModel.train(_docs(spark, d), "text", 300, None)
+    return _docs(spark, d).select("doc_id", model.encode(F.col("text"), "none").alias("ids")).select("doc_id", F.size("ids").alias("n"), F.md5(F.concat_ws(",", "ids")).alias("digest"))
+
+
 def bpe_roundtrip(spark, d):
     model = bpe.BpeModel.train(_docs(spark, d), "text", 320)
     return _docs(spark, d).select("doc_id", model.decode(model.encode(F.col("text"), "none")).alias("text"))
@@ -151,6 +169,13 @@ def sql():
     redacted = f"text || '{_SECRET}'"
     for pattern, put in tx.SECRETS:
         redacted = f"regexp_replace({redacted}, '{pattern}', '{put}', 'g')"
+    frame = len(tx.UNTRUSTED_HEAD) + len(tx.UNTRUSTED_TAIL)
+    visible = r"[^\s\x{1C}-\x{1F}\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    kind = f"CASE WHEN text IS NULL OR NOT regexp_matches(text, '{visible}') THEN 'empty' WHEN length(replace(replace(substr(text, 1, {tx.MAX_PROMPT_CHARS}), '<', '&lt;'), '>', '&gt;')) + {frame} > 20000 THEN 'long' ELSE 'healed' END"
+    healed = (
+        f"SELECT doc_id, kind = 'healed' AS success, CASE kind WHEN 'healed' THEN '{{\"words\":7}}' END AS data, CASE kind WHEN 'empty' THEN 0 WHEN 'long' THEN 1 ELSE 2 END::INT AS attempts, CASE kind WHEN 'empty' THEN 0 WHEN 'long' THEN 8 ELSE 16 END::INT AS completion, "
+        f"CASE kind WHEN 'empty' THEN 0 WHEN 'long' THEN 1 ELSE 2 END::INT AS records, CASE kind WHEN 'empty' THEN '{hl.EMPTY_PROMPT}' WHEN 'long' THEN '{hl.TRUNCATED_ADVICE}' END AS error FROM (SELECT doc_id, {kind} AS kind FROM documents)"
+    )
     bytes_ = "each AS (SELECT doc_id, i, ('0x' || substr(h, 2 * i - 1, 2))::INT AS b FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(1, strlen(text) + 1)) AS i FROM documents WHERE text <> ''))"
     pairs = f"WITH {bytes_}, pairs AS (SELECT b AS p0, lead(b) OVER (PARTITION BY doc_id ORDER BY i) AS p1 FROM each), stats AS (SELECT p0, p1, count(*) AS cnt FROM pairs WHERE p1 IS NOT NULL GROUP BY ALL)"
     return {
@@ -162,6 +187,9 @@ def sql():
         "retry_after": r"SELECT event_id, greatest(0, least(60, coalesce(try_cast(regexp_extract(props, '(\d+)', 1) AS DOUBLE), 1.5)))::DOUBLE AS seconds FROM events",
         "json_fence": "SELECT event_id, props AS inside FROM events",
         "json_extract": "SELECT event_id, replace(props, ' ', '') AS json, 'balanced' AS strategy FROM events",
+        "json_cascade": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN replace(props, ' ', '') END AS json, CASE event_id % 4 WHEN 0 THEN 'fence' WHEN 1 THEN 'balanced' WHEN 2 THEN 'repair' END AS strategy FROM events",
+        "text_checks": "SELECT doc_id, strlen(text) <= 1000 AS short, contains(text, 'the ') OR contains(text, '<|end|>') AS special FROM documents",
+        "heal_loop": healed,
         "json_repair": "SELECT event_id, props AS mended, props IS NOT NULL AS ok FROM events",
         "json_constraints": "SELECT event_id, k BETWEEN 10 AND 89 AS success, CASE WHEN k BETWEEN 10 AND 89 THEN NULL ELSE '- Campo ''k'': fuera de rango' END AS error FROM (SELECT event_id, (props->>'k')::BIGINT AS k FROM events)",
         "token_usage": "SELECT client, sum(h.token_usage.prompt_tokens)::BIGINT AS prompt, sum(h.token_usage.completion_tokens)::BIGINT AS completion FROM (SELECT client, unnest(history) AS h FROM extraction_results) GROUP BY client",
@@ -174,6 +202,6 @@ def sql():
 
 
 NAMES = [
-    "redact", "wrap_untrusted", "clamp_prompt", "truncated_reasons", "diagnostics", "retry_after", "json_fence", "json_extract", "json_extract_responses", "json_repair", "json_constraints", "token_usage", "heal_loop",
-    "utf8_bytes", "pair_stats", "first_merge", "chunk_freq", "gpt2_split", "gpt4_split", "bpe_train", "bpe_encode", "bpe_roundtrip",
+    "redact", "wrap_untrusted", "clamp_prompt", "truncated_reasons", "diagnostics", "retry_after", "json_fence", "json_extract", "json_cascade", "text_checks", "json_extract_responses", "json_repair", "json_constraints", "token_usage", "heal_loop",
+    "utf8_bytes", "pair_stats", "first_merge", "chunk_freq", "gpt2_split", "gpt4_split", "bpe_train", "bpe_encode", "bpe_encode_whole", "bpe_roundtrip",
 ]

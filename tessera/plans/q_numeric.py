@@ -13,7 +13,6 @@ from tessera.shared import table
 
 X, W, B = ["l_quantity", "l_discount", "l_tax"], [0.5, -2.0, 1.5], 0.25
 LAYERS = [([[0.1, -0.2, 0.3], [0.4, 0.5, -0.6]], [0.01, -0.02]), ([[0.7, -0.8]], [0.05])]
-VOCABULARY = "\n !$&',-.3:;?ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"  # fixed value: 65 characters
 TINY = md.GptConfig(vocab=65, block=16, layers=2, heads=2, width=16)
 
 
@@ -112,13 +111,22 @@ def sampling(spark, d):
     return _e(spark, d).select("vec_id", nx.draw(p, (F.col("vec_id") * 37 % 101) / 101.0).alias("token"))
 
 
+def _texts(spark, d):
+    """Documents and the vocabulary of all their characters, in order of their code points."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs, tx.char_vocabulary(docs, "text")
+
+
 def char_encode(spark, d):
-    return table(spark, d, "documents").select("doc_id", nx.in_vocabulary(tx.char_encode(F.col("text"), VOCABULARY), 65).alias("ok"), F.size(tx.char_encode(F.regexp_replace("text", "[^A-Za-z ]", ""), VOCABULARY)).alias("n"))
+    docs, vocabulary = _texts(spark, d)
+    ids = docs.select("doc_id", tx.char_encode(F.col("text"), vocabulary).alias("ids"))
+    tail = nx.last_tokens(F.col("ids"), 16)
+    return ids.select("doc_id", nx.in_vocabulary(F.col("ids"), 65).alias("ok"), F.size("ids").alias("n"), F.md5(F.concat_ws(",", "ids")).alias("digest"), F.concat_ws(",", tail).alias("tail")).where("n >= 0")
 
 
 def char_roundtrip(spark, d):
-    plain = F.regexp_replace("text", "[^A-Za-z .,]", "")
-    return table(spark, d, "documents").select("doc_id", tx.char_decode(tx.char_encode(plain, VOCABULARY), VOCABULARY).alias("text"))
+    docs, vocabulary = _texts(spark, d)
+    return docs.select("doc_id", tx.char_decode(tx.char_encode(F.col("text"), vocabulary), vocabulary).alias("text"))
 
 
 def split_train_val(spark, d):
@@ -127,8 +135,8 @@ def split_train_val(spark, d):
 
 
 def context_windows(spark, d):
-    ids = tx.char_encode(F.regexp_replace("text", "[^A-Za-z ]", ""), VOCABULARY)
-    w = table(spark, d, "documents").select("doc_id", F.explode(md.context_windows(ids, 32)).alias("w"))
+    docs, vocabulary = _texts(spark, d)
+    w = docs.select("doc_id", tx.char_encode(F.col("text"), vocabulary).alias("ids")).select("doc_id", F.explode(md.context_windows(F.col("ids"), 32)).alias("w"))
     return w.select("doc_id", "w.start", F.md5(F.concat_ws(",", "w.x")).alias("x"), F.md5(F.concat_ws(",", "w.y")).alias("y"))
 
 
@@ -138,9 +146,17 @@ def param_counts(spark, d):
 
 
 def generate_greedy(spark, d):
-    ids = nx.last_tokens(tx.char_encode(F.regexp_replace("text", "[^A-Za-z ]", ""), VOCABULARY), 16)
-    rows = table(spark, d, "documents").select("doc_id", ids.alias("ids"))
-    return md.generate(rows, "ids", md.init_gpt(TINY, 1), TINY, 4).select("doc_id", F.concat_ws(",", "generated").alias("generated"))
+    docs, vocabulary = _texts(spark, d)
+    ids = F.transform(nx.last_tokens(tx.char_encode(F.col("text"), vocabulary), 16), lambda i: (i % TINY.vocab).cast("int"))
+    return md.generate(docs.select("doc_id", ids.alias("ids")), "ids", md.init_gpt(TINY, 1), TINY, 4).select("doc_id", F.concat_ws(",", "generated").alias("generated"))
+
+
+def gpt_loss(spark, d):
+    """Mean loss of an untrained model over seeded windows of all texts."""
+    docs, vocabulary = _texts(spark, d)
+    ids = docs.select(F.transform(tx.char_encode(F.col("text"), vocabulary), lambda i: (i % TINY.vocab).cast("int")).alias("ids"))
+    found = md.estimate_loss({"train": ids}, "ids", md.init_gpt(TINY, 1), TINY, md.TrainConfig(batch=32, eval_batches=2))
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "split string, loss double")
 
 
 def sql():
@@ -150,6 +166,12 @@ def sql():
     y = f"({LAYERS[1][1][0]} + " + " + ".join(f"{w} * {h}" for w, h in zip(LAYERS[1][0][0], hidden, strict=True)) + ")"
     err = f"({B} + " + " + ".join(f"{w} * {c}" for w, c in zip(W, X, strict=True)) + " - l_extendedprice)"
     num = "(l_discount * 3 + l_quantity * l_quantity - 1)"
+    moments = "SELECT avg(q * q) AS qq, avg(q * d) AS qd, avg(d * d) AS dd, avg(q) AS q1, avg(d) AS d1, avg(q * y) AS qy, avg(d * y) AS dy, avg(y) AS y1, avg(y * y) AS yy FROM (SELECT l_quantity / 50 AS q, l_discount AS d, l_tax AS y FROM lineitem)"
+    ids = (
+        "chars AS (SELECT doc_id, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS cs FROM documents WHERE text IS NOT NULL)), "
+        "vocabulary AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS id FROM (SELECT DISTINCT c FROM chars)), "
+        "encoded AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM chars JOIN vocabulary USING (c) GROUP BY doc_id UNION ALL SELECT doc_id, [] FROM documents WHERE text = '')"
+    )
     return {
         "scalar_ops": f"SELECT l_orderkey, l_linenumber, round({num} / (l_quantity + 0.5), 6) AS f, round(3 / (l_quantity + 0.5), 6) AS dx, round((2 * l_quantity * (l_quantity + 0.5) - {num}) / pow(l_quantity + 0.5, 2), 6) AS dq FROM lineitem",
         "relu_tanh": "SELECT l_orderkey, l_linenumber, round(greatest(l_discount - 0.05, 0), 6) AS r, CASE WHEN l_discount - 0.05 > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS dr, round(tanh(l_discount - 0.05), 6) AS t, round(1 - pow(tanh(l_discount - 0.05), 2), 6) AS dt, round(exp((l_discount - 0.05) * 2), 6) AS e, round(ln(l_discount - 0.05 + 1), 6) AS l FROM lineitem",
@@ -166,7 +188,13 @@ def sql():
         "w AS (SELECT *, exp(s - max(s) OVER p) AS e FROM s WINDOW p AS (PARTITION BY vec_id, qp)), n AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id, qp) AS w FROM w) "
         "SELECT n.vec_id, (qp * 16 + e.place % 16)::INT AS place, round(sum(w * e.x), 6) AS x FROM n JOIN each e ON n.vec_id = e.vec_id AND n.kp = e.place // 16 GROUP BY n.vec_id, qp, e.place % 16",
         "lr_schedule": "SELECT i AS step, round(CASE WHEN i < 20 THEN 1e-3 * (i + 1) / 21 WHEN i > 100 THEN 1e-4 ELSE 1e-4 + 0.5 * (1 + cos(pi() * (i - 20) / 80.0)) * 9e-4 END, 9)::DOUBLE AS lr FROM range(0, 121) t(i)",
-        "char_roundtrip": "SELECT doc_id, regexp_replace(text, '[^A-Za-z .,]', '', 'g') AS text FROM documents",
+        "char_roundtrip": "SELECT doc_id, text FROM documents",
+        "char_encode": f"WITH {ids} SELECT doc_id, len(list_filter(ids, lambda t: t >= 65)) = 0 AS ok, len(ids)::INT AS n, md5(array_to_string(ids, ',')) AS digest, array_to_string(ids[greatest(len(ids) - 15, 1):], ',') AS tail FROM encoded",
+        "context_windows": f"WITH {ids} SELECT doc_id, s::INT AS start, md5(array_to_string(ids[s + 1:s + 32], ',')) AS x, md5(array_to_string(ids[s + 2:s + 33], ',')) AS y FROM (SELECT doc_id, ids, unnest(range(0, len(ids) - 32, 32)) AS s FROM encoded WHERE len(ids) > 32)",
+        "sampling": f"WITH kept AS (SELECT vec_id, v, list_sort(v, 'DESC')[8] AS kth, list_max(v) AS top FROM ({v})), e AS (SELECT vec_id, i, CASE WHEN v[i] >= kth THEN exp((v[i] - top) / 0.7) ELSE 0 END AS e FROM kept, range(1, 65) t(i)), "
+        "c AS (SELECT vec_id, sum(e) OVER (PARTITION BY vec_id ORDER BY i) / sum(e) OVER (PARTITION BY vec_id) AS c FROM e) SELECT vec_id, least(count(*) FILTER (c <= (vec_id * 37 % 101) / 101.0), 63)::INT AS token FROM c GROUP BY vec_id",
+        "sgd_linear": f"WITH RECURSIVE m AS ({moments}), s(k, wq, wd, b, loss) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL SELECT k + 1, wq - (wq * qq + wd * qd + b * q1 - qy), wd - (wq * qd + wd * dd + b * d1 - dy), b - (wq * q1 + wd * d1 + b - y1), "
+        "wq * wq * qq + wd * wd * dd + b * b + 2 * (wq * wd * qd + wq * b * q1 + wd * b * d1 - wq * qy - wd * dy - b * y1) + yy FROM s, m WHERE k < 10) SELECT round(wq, 6) AS w_q, round(wd, 6) AS w_discount, round(b, 6) AS bias, round(loss, 6) AS loss FROM s WHERE k = 10",
         "split_train_val": "SELECT CASE WHEN o_orderkey - 1 < (SELECT floor(0.9 * count(*)) FROM orders) THEN 'train' ELSE 'val' END AS split, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1",
         "param_counts": "SELECT l AS layers, d AS width, p + n * d AS params, p AS without_positions, 2 + 4 * l AS decaying FROM (SELECT l, d, n, (65 * d + l * (12 * d * d + 13 * d) + 2 * d)::BIGINT AS p FROM (VALUES (4, 128, 256), (2, 32, 64)) t(l, d, n))",
     }
@@ -174,5 +202,5 @@ def sql():
 
 NAMES = [
     "scalar_ops", "relu_tanh", "linreg_grad", "mlp_forward", "mse", "sgd_linear", "grad_clip", "softmax", "layernorm", "gelu", "cross_entropy", "topk_mask", "causal_attention", "lr_schedule", "sampling",
-    "char_encode", "char_roundtrip", "split_train_val", "context_windows", "param_counts", "generate_greedy",
+    "char_encode", "char_roundtrip", "split_train_val", "context_windows", "param_counts", "generate_greedy", "gpt_loss",
 ]

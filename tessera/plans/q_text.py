@@ -79,6 +79,12 @@ def lsh_candidates(spark, d):
     return mh.lsh_candidates(_bands(spark, d), None)
 
 
+def lsh_capped_candidates(spark, d):
+    """Buckets beyond their cap: the orders of a customer as ids of one bucket."""
+    bands = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("band"), F.col("o_custkey").alias("key"))
+    return mh.lsh_candidates(bands, 5)
+
+
 def lsh_verified_edges(spark, d):
     b, r = mh.lsh_params(THRESHOLD, K)
     reps = _reps(spark, d)[1]
@@ -105,6 +111,11 @@ def dedup_shortest(spark, d):
     return _dedup(spark, d, "shortest")
 
 
+def dedup_k128(spark, d):
+    """The production parameters, with a base hash that SQL has."""
+    return dedup.deduplicate(_docs(spark, d), "doc_id", "text", base="md5", compatibility=False).select(F.col("id").alias("doc_id"), "component", "is_kept")
+
+
 def dedup_reference_hash(spark, d):
     """The flagship: the whole pipeline with its production parameters."""
     return dedup.deduplicate(_docs(spark, d), "doc_id", "text", cap=mh.BUCKET_CAP).select(F.col("id").alias("doc_id"), "component", "is_kept")
@@ -126,8 +137,8 @@ def _grams(k: int) -> str:
 _SHINGLED = rf"docs AS (SELECT doc_id, text, {_NORM} AS norm FROM documents), worded AS (SELECT *, regexp_extract_all(norm, '[\p{{L}}\p{{N}}_]+') AS w FROM docs), shingled AS (SELECT *, {_grams(5)} AS s FROM worded)"
 
 
-def _signed_sql() -> str:
-    a, b = mh.coefficients(K, 42)
+def _signed_sql(k: int = K) -> str:
+    a, b = mh.coefficients(k, 42)
     numbers = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(zip(a, b, strict=True)))
     return (
         f"{_SHINGLED}, perms(slot, a, b) AS (VALUES {numbers}), "
@@ -138,28 +149,28 @@ def _signed_sql() -> str:
     )
 
 
-def _edges_sql() -> str:
-    b, r = mh.lsh_params(THRESHOLD, K)
+def _edges_sql(k: int = K, threshold: float = THRESHOLD) -> str:
+    b, r = mh.lsh_params(threshold, k)
     return (
-        f"{_signed_sql()}, named AS (SELECT sig, min(doc_id) AS rep FROM sigs GROUP BY sig), members AS (SELECT doc_id, rep FROM sigs JOIN named USING (sig)), "
+        f"{_signed_sql(k)}, named AS (SELECT sig, min(doc_id) AS rep FROM sigs GROUP BY sig), members AS (SELECT doc_id, rep FROM sigs JOIN named USING (sig)), "
         f"bands AS (SELECT rep, band, sig[band * {r} + 1:band * {r} + {r}] AS k FROM named, range({b}) t(band)), "
         "pairs AS (SELECT DISTINCT x.rep AS id_a, y.rep AS id_b FROM bands x JOIN bands y ON x.band = y.band AND x.k = y.k AND x.rep < y.rep), "
-        f"edges AS (SELECT id_a, id_b, len(list_filter(list_zip(p.sig, q.sig), lambda z: z[1] = z[2])) / {K} AS similarity FROM pairs JOIN named p ON id_a = p.rep JOIN named q ON id_b = q.rep), "
-        f"links AS (SELECT * FROM edges WHERE similarity >= {THRESHOLD})"
+        f"edges AS (SELECT id_a, id_b, len(list_filter(list_zip(p.sig, q.sig), lambda z: z[1] = z[2])) / {k} AS similarity FROM pairs JOIN named p ON id_a = p.rep JOIN named q ON id_b = q.rep), "
+        f"links AS (SELECT * FROM edges WHERE similarity >= {threshold})"
     )
 
 
-def _component_sql() -> str:
+def _component_sql(k: int = K, threshold: float = THRESHOLD) -> str:
     return (
-        "WITH RECURSIVE " + _edges_sql() + ", both_ways AS (SELECT id_a AS x, id_b AS y FROM links UNION SELECT id_b, id_a FROM links), "
+        "WITH RECURSIVE " + _edges_sql(k, threshold) + ", both_ways AS (SELECT id_a AS x, id_b AS y FROM links UNION SELECT id_b, id_a FROM links), "
         "reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON r.y = e.x), "
         "labels AS (SELECT doc_id, least(rep, coalesce((SELECT min(y) FROM reach WHERE x = rep), rep)) AS component FROM members)"
     )
 
 
-def _kept_sql(order: str) -> str:
+def _kept_sql(order: str, k: int = K, threshold: float = THRESHOLD) -> str:
     return (
-        _component_sql()
+        _component_sql(k, threshold)
         + f" SELECT doc_id, component, row_number() OVER (PARTITION BY component ORDER BY {order}) = 1 AS is_kept FROM labels JOIN (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents) USING (doc_id)"
     )
 
@@ -189,6 +200,8 @@ def sql() -> dict[str, str]:
         "lsh_bands": f"WITH {_edges_sql()} SELECT rep AS id, count(*) AS bands, count(DISTINCT band) AS n_distinct FROM bands GROUP BY rep",
         "lsh_bucket_stats": f"WITH {_edges_sql()}, sizes AS (SELECT band, k, count(*) AS n FROM bands GROUP BY ALL) SELECT count(*) AS buckets, count(*) FILTER (n > {mh.BUCKET_CAP}) AS saturated, coalesce(max(n), 0) AS largest FROM sizes",
         "lsh_candidates": f"WITH {_edges_sql()} SELECT id_a, id_b FROM pairs",
+        "lsh_capped_candidates": "WITH r AS (SELECT o_custkey AS k, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT x.id AS id_a, y.id AS id_b FROM r x JOIN r y ON x.k = y.k AND x.id < y.id AND x.n <= 5",
+        "dedup_k128": _kept_sql("doc_id", 128, 0.75),
         "lsh_verified_edges": f"WITH {_edges_sql()} SELECT id_a, id_b, similarity FROM links",
         "dedup_components": _component_sql() + " SELECT component, count(*) AS members FROM labels GROUP BY component",
         "dedup_first": _kept_sql("doc_id"),
@@ -200,5 +213,5 @@ def sql() -> dict[str, str]:
 
 NAMES = [
     "norm_text", "norm_text_compatibility", "word_shingles", "char_shingles", "exact_dups", "exact_jaccard_pairs", "minhash_sig_md5", "minhash_reference_hash", "lsh_bands", "lsh_bucket_stats",
-    "lsh_candidates", "lsh_verified_edges", "dedup_components", "dedup_first", "dedup_longest", "dedup_shortest", "dedup_reference_hash", "lsh_params_curve",
+    "lsh_candidates", "lsh_capped_candidates", "lsh_verified_edges", "dedup_components", "dedup_first", "dedup_longest", "dedup_shortest", "dedup_k128", "dedup_reference_hash", "lsh_params_curve",
 ]

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +42,8 @@ def nfkc(c: Column) -> Column:
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
-        made = pc.utf8_normalize(pa.array(s, pa.string()), "NFKC")
-        return pd.Series(made.to_pylist(), index=s.index, dtype=object)
+        plain = lambda x: x is None or x.isascii() or unicodedata.is_normalized("NFKC", x)
+        return pd.Series([x if plain(x) else unicodedata.normalize("NFKC", x) for x in s], index=s.index, dtype=object)
 
     return run(c)
 

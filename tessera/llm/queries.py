@@ -28,7 +28,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_groups(table(spark, d, "corpus"))
+    return neardup.near_duplicate_groups(table(spark, d, "corpus"), threshold=0.6, k=3)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

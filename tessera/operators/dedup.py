@@ -31,7 +31,7 @@ def sign(df: DataFrame, order: str, text: str, k: int, num_perm: int, mode: str,
     texts = rows.groupBy("nk").agg(F.min_by("norm", "ord").alias("norm"))
     # hashing is heavy for its size: keep every core busy where coalescing by bytes would leave one task
     width = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    signed = mh.with_signature(texts.repartition(width, "nk").select("nk", tx.shingles(F.col("norm"), k, mode).alias("s")), "s", "sig", num_perm, seed, base)
+    signed = mh.with_text_signature(texts.repartition(width, "nk").select("nk", "norm"), "norm", k, mode, "sig", num_perm, seed, base)
     signed = materialize(signed.withColumn("sk", F.unhex(F.md5(F.concat_ws(",", "sig")))), "signed")
     keyed = rows.select("ord", "nk").join(signed.select("nk", "sk"), "nk").select("ord", "sk")
     named = keyed.groupBy("sk").agg(F.min("ord").alias("rep"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.sql import Window as W
 from tessera.operators.pairing import MOST_ROWS, pairs_of_equal_keys
 
 PRIME = (1 << 61) - 1
+_WORD = re.compile(r"\w+")
 BUCKET_CAP = 5000  # fixed value: ids of a bucket that can be found, where a cap is wanted
 
 
@@ -67,15 +70,20 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, num_perm: int, seed: int
     return out
 
 
-def with_signature(df: DataFrame, shingles: str, out: str = "sig", num_perm: int = 128, seed: int = 42, base: str = "blake2b") -> DataFrame:
-    """``df`` with the signature ARRAY<BIGINT> of the shingle array in place of it. Repeats don't matter; null and empty arrays give all -1.
+def text_shingles(text: str, k: int, mode: str) -> set[str]:
+    """The different shingles of a normalised text, as ``functions.text.shingles`` makes them."""
+    if mode == "char":
+        return {text[i : i + k] for i in range(max(1, len(text) - k + 1))} if text else set()
+    words = _WORD.findall(text)
+    if len(words) < k:
+        return {" ".join(words)} if words else set()
+    return set(map(" ".join, zip(*[words[i:] for i in range(k)], strict=False)))
 
-    One pass in Arrow batches: each different shingle is hashed once a batch, and the permutations run
-    over the shingles of many rows at once, in blocks that stay in the cache.
-    """
+
+def _signed(df: DataFrame, column: str, members: Callable[[Any], Iterable[str]], out: str, num_perm: int, seed: int, base: str) -> DataFrame:
     coefficients(num_perm, seed)
-    at = df.schema.names.index(shingles)
-    schema = T.StructType([*[f for f in df.schema.fields if f.name != shingles], T.StructField(out, T.ArrayType(T.LongType()))])
+    at = df.schema.names.index(column)
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != column], T.StructField(out, T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Hashes(dict):
@@ -87,17 +95,33 @@ def with_signature(df: DataFrame, shingles: str, out: str = "sig", num_perm: int
         for batch in batches:
             for start in range(0, len(batch), 200):
                 part = batch.slice(start, 200)
-                sets = [list(map(known.__getitem__, set(row))) if row else [] for row in part.column(at).to_pylist()]
+                sets = [list(map(known.__getitem__, members(row))) if row else [] for row in part.column(at).to_pylist()]
                 if len(known) > 500_000:
                     known.clear()
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
                 sig = signatures(np.array([h for x in sets for h in x], np.uint64), offsets, num_perm, seed)
-                column = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * num_perm), pa.array(sig.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != at], column], names=schema.names)
+                column_ = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * num_perm), pa.array(sig.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != at], column_], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def with_signature(df: DataFrame, shingles: str, out: str = "sig", num_perm: int = 128, seed: int = 42, base: str = "blake2b") -> DataFrame:
+    """``df`` with the signature ARRAY<BIGINT> of the shingle array in place of it. Repeats don't matter; null and empty arrays give all -1.
+
+    One pass in Arrow batches: each different shingle is hashed once a batch, and the permutations run
+    over the shingles of many rows at once, in blocks that stay in the cache.
+    """
+    return _signed(df, shingles, set, out, num_perm, seed, base)
+
+
+def with_text_signature(df: DataFrame, text: str, k: int = 5, mode: str = "word", out: str = "sig", num_perm: int = 128, seed: int = 42, base: str = "blake2b") -> DataFrame:
+    """The same from a normalised text, which is cut into shingles in the same pass, so that they are never rows or columns."""
+    if k < 1 or mode not in ("word", "char"):
+        raise ValueError("k must be at least 1 and mode 'word' or 'char'")
+    return _signed(df, text, lambda t: text_shingles(t, k, mode), out, num_perm, seed, base)
+
+
 def signature_similarity(a: Column, b: Column) -> Column:
     """Share of equal slots of two signatures; signatures of different or no length raise."""
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda t: t))

@@ -73,3 +73,13 @@ def test_jaccard_edges_with_a_common_shingle(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in dedup.jaccard_edges(df, "id", "text", 0.7).collect()} == want and want
     monkeypatch.setattr(pairing, "MOST_ROWS", 5)
     assert df.where(F.col("id") < 0).count() == dedup.jaccard_edges(df.limit(0), "id", "text", 0.7).count() == 0
+
+
+def test_shingles_of_both_kinds_agree(spark):
+    from tessera.functions import text as tx
+
+    texts = ["", "one", "one two three", "la niña_2 comió ½ kg à 3,5 €", "слово два три четыре пять шесть", "数据 清洗 和 去重", "a b c d e f g", "x" * 9, "e\u0301t\u00e9 ①②", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for k, mode in ((3, "word"), (5, "word"), (4, "char"), (1, "char")):
+        a = {r.i: r.sig for r in mh.with_signature(df.select("i", tx.shingles(F.col("t"), k, mode).alias("s")), "s", num_perm=16).collect()}
+        assert a == {r.i: r.sig for r in mh.with_text_signature(df, "t", k, mode, num_perm=16).collect()}

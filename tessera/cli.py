@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 
@@ -15,8 +16,11 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("query", nargs="?", help="name of a query; without one, all names are listed")
     parser.add_argument("folder", nargs="?", help="folder with one Parquet table a name")
     parser.add_argument("--out", help="write the result as Parquet instead of showing it")
+    parser.add_argument("--module", action="append", default=[], help="a module with more queries, as its function queries() gives them; may be repeated")
     args = parser.parse_args(argv)
     queries = catalog.queries()
+    for name in args.module:
+        queries |= importlib.import_module(name).queries()
     if not args.query:
         print("\n".join(queries))
         return 0

@@ -49,7 +49,7 @@ def clusters(df: DataFrame, order: str, text: str, threshold: float = 0.75, k: i
     return members.join(found, "rep", "left").select("ord", F.coalesce("component", "rep").alias("component"))
 
 
-def deduplicate(df: DataFrame, id: str, text: str, order: str | None = None, threshold: float = 0.75, k: int = 5, num_perm: int = 128, mode: str = "word", b: int | None = None, r: int | None = None, policy: str = "first", seed: int = 42, base: str = "blake2b", compatibility: bool = True, cap: int | None = None) -> DataFrame:
+def deduplicate(df: DataFrame, id: str, text: str, order: str | None = None, threshold: float = 0.75, k: int = 5, num_perm: int = 128, mode: str = "word", b: int | None = None, r: int | None = None, policy: str = "first", seed: int = 42, base: str = "blake2b", compatibility: bool = True, cap: int | None = None, most_rows: int | None = None) -> DataFrame:
     """``id, ord, component, is_kept`` for every row of the corpus; ``order`` must be unique and defaults to ``id``.
 
     ``policy`` keeps the ``first``, the ``longest`` or the ``shortest`` raw text of each cluster, of
@@ -57,9 +57,12 @@ def deduplicate(df: DataFrame, id: str, text: str, order: str | None = None, thr
     cluster. An empty corpus gives an empty result. Similarity is estimated over all ``num_perm``
     slots and compared with >=. The pick is an aggregate, so a cluster may hold any share of the rows.
     ``cap`` limits who can be found in a bucket, see ``minhash.lsh_candidates``; without it none is missed.
+    ``most_rows`` refuses a larger corpus; by default any size is taken.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
+    if most_rows is not None and df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"the corpus exceeds {most_rows} rows")
     order = order or id
     labels = materialize(clusters(df, order, text, threshold, k, num_perm, mode, b, r, seed, base, compatibility, cap), "labels")
     rows = df.select(F.col(id).alias("id"), F.col(order).alias("ord"), F.coalesce(F.length(text), F.lit(0)).alias("n")).where("ord IS NOT NULL").join(labels, "ord")

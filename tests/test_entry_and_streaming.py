@@ -1,3 +1,6 @@
+import pytest
+
+from tessera import shared
 from tessera.plans import catalog
 from tessera.streaming import upserts
 
@@ -11,6 +14,21 @@ def test_every_core_query_runs_and_has_its_columns(spark):
         assert queries[name](spark, SMALL).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_core_query_runs_whole(spark, name):
+    out = catalog.queries()[name](spark, SMALL)
+    assert len(set(map(str.lower, out.columns))) == len(out.columns)
+    out.write.format("noop").mode("overwrite").save()
+    shared.clear(spark)
+
+
+def test_command_line_knows_all_queries(capsys):
+    from tessera import cli
+
+    assert cli.main([]) == 0
+    assert set(catalog.queries()) <= set(capsys.readouterr().out.split())
+
+
 def test_flagship(spark):
     out = catalog.flagship(spark, SMALL)
     kept = out.where("is_kept")
@@ -89,3 +107,18 @@ def test_vectors_are_checked_on_upsert(spark):
     assert [r.id for r in db.topk(df, [1.0, 1.0], where=lambda r: r["m"] == "x").collect()] == ["a"] and db.topk(df, [1.0, 1.0], where=lambda r: False).count() == 0
     hits = db.topk_batch(df, spark.createDataFrame([(1, [1.0, 1.0])], "query_id int, query_vector array<double>"), 1, include=("m",)).first()
     assert (hits.id, hits.m) == ("a", "x")
+
+
+def test_samples_follow_from_their_seed(spark):
+    import numpy as np
+
+    from tessera.operators import dedup
+    from tessera.sources import samples
+
+    x = np.array([r.vector for r in samples.random_vectors(spark, 400, 16, 3).orderBy("id").collect()])
+    again = np.array([r.vector for r in samples.random_vectors(spark, 400, 16, 3).repartition(3).orderBy("id").collect()])
+    assert x.shape == (400, 16) and (x == again).all() and abs(x.mean()) < 0.05 and abs(x.std() - 1) < 0.05
+    corpus = samples.sample_corpus(spark, 50, 1)
+    assert corpus.count() == 50 and corpus.select("text").distinct().count() > 20
+    with pytest.raises(ValueError, match="exceeds"):
+        dedup.deduplicate(corpus, "ord", "text", most_rows=49)

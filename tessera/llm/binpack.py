@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+from tessera.shared import materialize
+
+BUCKETS, BUCKET_ROWS = 256, 100_000  # at least so many hash buckets, and of about so many items
 
 
 def _knapsack(worth: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -163,10 +165,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFra
         raise ValueError("capacity must be at least 1")
     whole = items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("total"))
     parts = whole.select("key", "total", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("total") - 1) / capacity)).cast("int"))).alias("part"))
-    rows = parts.select("key", "part", F.least(F.lit(capacity), F.col("total") - F.col("part") * capacity).cast("int").alias("size"), F.pmod(F.xxhash64("key", "part"), F.lit(BUCKETS)).cast("int").alias("b"))
-    from tessera.shared import materialize
-
+    rows = parts.select("key", "part", F.least(F.lit(capacity), F.col("total") - F.col("part") * capacity).cast("int").alias("size"))
     rows = materialize(rows, "items")
+    buckets = max(BUCKETS, rows.count() // BUCKET_ROWS)
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("b", "size").agg(F.count("*").alias("n"))
     before = counts.select("b", "size", (F.sum("n").over(W.partitionBy("size").orderBy("b")) - F.col("n")).alias("before"))
     histogram = {r["size"]: r.n for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows

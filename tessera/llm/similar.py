@@ -4,6 +4,8 @@ Unit vectors are hashed by cross polytopes: a fast pseudo-rotation (three rounds
 Hadamard transform) and the nearest signed axis name a cell. Every vector is stored in one cell of each
 table and looks into the cells of its nearest axes (multiprobe). What meets in a cell is compared by one
 matrix product and exactly ranked in double precision; of several meetings only the first counts.
+Clusters are found in rounds of some tables or of a part of the cells of one, so that the disk holds
+the vectors sent in one round, not in all.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.operators.graph import connected_components
-from tessera.shared import broadcast_small, discard, materialize
+from tessera.shared import broadcast_small, discard, materialize, materialize_each
 
 HIT = 0.58  # measured share of pairs of cosine 0.8 that meet in one table of one rotation with two probes (64 dimensions)
 CELL_ROWS, BUCKET_ROWS, CHUNK = 16_384, 200_000, 2_000_000
 PACK_ROWS = 5_000  # vectors that are packed at once
 EXACT_ROWS = 100_000  # products in double precision at once
+ROUND_BYTES, ROUND_SHARE = 300_000_000, 3  # what a round sends at most: this, or so many times the bytes of all vectors
 
 
 @dataclass(frozen=True)
@@ -48,6 +52,67 @@ def tables_for(rows: int, dim: int, miss: float = 0.001) -> Tables:
     return Tables(math.ceil(math.log(miss) / math.log(1 - HIT**depth)), depth)
 
 
+@dataclass(frozen=True)
+class Rounds:
+    """Rounds of ``tables`` tables each, or of one part in ``parts`` of the cells of a table, with ``buckets`` buckets each.
+
+    With ``under`` above 1, the number of cells of a first axis, the cells of a first axis of a table are
+    dealt to ``split`` buckets, so that a vector is sent for its first axes and not for each of its cells.
+    """
+
+    tables: int
+    parts: int
+    buckets: int
+    under: int = 1
+    split: int = 1
+
+    def count(self, t: Tables) -> int:
+        return -(-t.count // self.tables) * self.parts
+
+    def tables_of(self, number: int, t: Tables) -> tuple[int, int]:
+        """The first table of round ``number`` and the one after its last."""
+        first = number // self.parts * self.tables
+        return first, min(t.count, first + self.tables)
+
+    def bucket(self, cell: np.ndarray, t: Tables) -> np.ndarray:
+        """Numbers of the buckets of cells; those of round n are n * buckets and following."""
+        x = cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        table = cell % t.count
+        if self.under > 1:
+            x = (cell // t.count // self.under * self.tables + table % self.tables).astype(np.uint64) * np.uint64(self.split) + x % np.uint64(self.split)
+        inside = (x // np.uint64(self.parts) % np.uint64(self.buckets)).astype(np.int64)
+        number = table // self.tables * self.parts + (x % np.uint64(self.parts)).astype(np.int64)
+        return (number * self.buckets + inside).astype(np.int32)
+
+
+def one_round(rows: int, t: Tables, cores: int) -> Rounds:
+    """All at once, with about BUCKET_ROWS looks to each bucket."""
+    return Rounds(t.count, 1, max(2 * cores, rows * t.count * t.looks // BUCKET_ROWS))
+
+
+def rounds_for(rows: int, t: Tables, dim: int, cores: int) -> Rounds:
+    """As few rounds as keep what one sends within ROUND_BYTES or ROUND_SHARE times the bytes of the vectors."""
+    once = one_round(rows, t, cores)
+    axes = 2 << (dim - 1).bit_length()
+    each = dim * 4 + t.count * t.depth * t.probes * (1 if axes <= 256 else 4) + 24  # bytes of a vector sent, its id in 15
+    most = max(ROUND_BYTES, ROUND_SHARE * rows * dim * 4)
+
+    def apart(looks: int, places: int) -> float:
+        return places * -math.expm1(looks * math.log1p(-1 / places)) if places > 1 else 1.0  # of looks that share a place one is sent
+
+    if rows * each * apart(t.count * t.looks, once.buckets) <= most:
+        return once
+    under, split = axes ** (t.depth - 1), max(1, math.ceil(rows * t.probes / axes / BUCKET_ROWS))
+    sends = rows * (t.looks if under == 1 else t.probes * apart(t.looks // t.probes, split))
+    tables = min(t.count, int(most / (sends * each)))
+    parts = 1 if tables else math.ceil(sends * each / most)
+    tables = -(-t.count // -(-t.count // tables)) if tables else 1  # rounds of about equal size
+    if under > 1:
+        return Rounds(tables, parts, -(-axes * tables * split // parts), under, split)
+    return Rounds(tables, parts, max(8 * cores, int(sends) * tables // parts // BUCKET_ROWS))
+
+
 def _hadamard(x: np.ndarray) -> np.ndarray:
     n, d = x.shape
     h = 1
@@ -81,13 +146,16 @@ def axes(unit: np.ndarray, t: Tables) -> np.ndarray:
     return out
 
 
-def cells(near: np.ndarray, t: Tables, dim: int) -> np.ndarray:
-    """Numbers of the cells that rows of ``axes`` look into, shape (rows, tables, looks); in the first of a table the row is stored."""
+def cells(near: np.ndarray, t: Tables, dim: int, first: int = 0) -> np.ndarray:
+    """Numbers of the cells that rows of ``axes``, of the tables from number ``first`` on, look into.
+
+    Their shape is (rows, tables, looks); in the first of a table the row is stored.
+    """
     d = 1 << (dim - 1).bit_length()
-    out = np.zeros((len(near), t.count, 1), np.int64)
+    out = np.zeros((len(near), near.shape[1], 1), np.int64)
     for j in range(t.depth):
-        out = (out[:, :, :, None] * (2 * d) + near[:, :, j, None, :]).reshape(len(near), t.count, -1)
-    return out * t.count + np.arange(t.count)[None, :, None]
+        out = (out[:, :, :, None] * (2 * d) + near[:, :, j, None, :]).reshape(len(near), near.shape[1], -1)
+    return out * t.count + np.arange(first, first + near.shape[1])[None, :, None]
 
 
 def usable_vectors(df: DataFrame, id: str = "id", vector: str = "vector", seq: str = "seq", dim: int = 64) -> DataFrame:
@@ -144,21 +212,8 @@ def _pack_strings(ids: pa.Array, order: np.ndarray, bounds: np.ndarray) -> list[
     return [(ends[a + 1 : b + 1] - ends[a]).astype(np.int32).tobytes() + bytes(data[ends[a] : ends[b]]) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def _bucket(cell: np.ndarray, buckets: int) -> np.ndarray:
-    x = cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(29))) % np.uint64(buckets)).astype(np.int32)
-
-
-def _meetings(vectors: DataFrame, t: Tables, weight: str, asks: str | None = None) -> DataFrame:
-    """Packs ``(bucket, buckets, split, stored, looks, n, id, vec, axes, weight, asks)`` of vectors for the cells they look into.
-
-    Cells are dealt to buckets by a hash, about BUCKET_ROWS looks to each, and a vector is sent to a
-    bucket once, for all its cells there: they follow from ``axes``, the nearest axes of all tables in a
-    byte each. A pack holds those of one Arrow batch, each column as bytes one after another. Only rows
-    with ``asks`` true look, if given. A bucket of more than twice BUCKET_ROWS, as a hot cell makes it, is
-    split on both sides: its packs are spread by a hash over p parts as stored and p as looking, and a
-    task holds one part of either, so no task holds an unbounded cell; a pack goes to 2p - 1 tasks.
-    """
+def _hashed(vectors: DataFrame, t: Tables, weight: str, asks: str | None = None) -> DataFrame:
+    """``(id, vec, weight, asks, axes)``, written: vectors with the nearest axes of all tables, in a byte each."""
     fields = "id string, vec binary, weight bigint, asks boolean"
     rows = vectors.select("id", "vec", F.col(weight).cast("long").alias("weight"), (F.col(asks) if asks else F.lit(True)).alias("asks"))
 
@@ -169,22 +224,36 @@ def _meetings(vectors: DataFrame, t: Tables, weight: str, asks: str | None = Non
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(near[0].nbytes), len(b), [None, pa.py_buffer(near.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*b.columns, raw], names=[*b.schema.names, "axes"])
 
-    rows = materialize(rows.mapInArrow(hashed, f"{fields}, axes binary"), "hashed")
-    width = t.count * t.looks
-    buckets = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, rows.count() * width // BUCKET_ROWS)
+    return materialize_each([rows.mapInArrow(hashed, f"{fields}, axes binary")], "hashed")
+
 
-    def sent(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors and axes of a batch, and its different (bucket, row), by bucket."""
+def _meetings(rows: DataFrame, t: Tables, rounds: Rounds) -> Iterator[DataFrame]:
+    """For each round the packs ``(bucket, split, stored, looks, n, id, vec, axes, weight, asks)`` of ``_hashed`` rows for the cells they look into.
+
+    Cells are dealt to buckets by a hash, and a vector is sent to a bucket once, for all its cells there:
+    they follow from ``axes``, those of the tables up to the round's last. A pack holds those of one Arrow
+    batch, each column as bytes one after another. Only rows with ``asks`` true look. A bucket of more
+    than twice BUCKET_ROWS, as a hot cell makes it, is split on both sides: its packs are spread by a hash
+    over p parts as stored and p as looking, and a task holds one part of either, so no task holds an
+    unbounded cell; a pack goes to 2p - 1 tasks.
+    """
+
+    def sent(b: pa.RecordBatch, number: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors and axes of a batch, and its different (bucket, row) in a round or in all, by bucket."""
         vec = _packed(b.column(1), np.uint8)
         near = _near(b.column(4), t, vec.shape[1] // 4)
-        cell = cells(near, t, vec.shape[1] // 4)
+        first, end = (0, t.count) if number is None else rounds.tables_of(number, t)
+        cell = cells(near[:, first:end], t, vec.shape[1] // 4, first)
         asking = b.column(3).to_numpy(zero_copy_only=False)
         use = np.zeros(cell.shape, bool)
         use[:, :, 0] = True  # where it is stored
         use[asking] = True
-        row = np.repeat(np.arange(len(b)), width)
-        both = np.unique((_bucket(cell.reshape(-1), buckets).astype(np.int64) * len(b) + row)[use.reshape(-1)])
-        return vec, near.reshape(len(b), -1), both // len(b), both % len(b)
+        row, bucket = np.nonzero(use.reshape(len(b), -1))[0], rounds.bucket(cell[use], t).astype(np.int64)
+        if number is not None and rounds.parts > 1:
+            mine = bucket // rounds.buckets == number
+            row, bucket = row[mine], bucket[mine]
+        both = np.unique(bucket * len(b) + row)
+        return vec, near[:, :end].reshape(len(b), -1), both // len(b), both % len(b)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,11 +261,13 @@ def _meetings(vectors: DataFrame, t: Tables, weight: str, asks: str | None = Non
                 bucket, n = np.unique(sent(b)[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(number: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), PACK_ROWS):
                 b = whole.slice(at, PACK_ROWS)
-                vec, near, bucket, row = sent(b)
+                vec, near, bucket, row = sent(b, number)
+                if not len(row):
+                    continue
                 bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
                 weights, asking = b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
                 cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary())  # noqa: B023, E731
@@ -205,15 +276,18 @@ def _meetings(vectors: DataFrame, t: Tables, weight: str, asks: str | None = Non
 
     sizes = rows.mapInArrow(counted, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * BUCKET_ROWS)
     hot = broadcast_small(sizes.select("bucket", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")))
-    packs = rows.mapInArrow(packed, "bucket int, n int, id binary, vec binary, axes binary, weight binary, asks binary").withColumn("buckets", F.lit(buckets))
-    if hot.isEmpty():
-        return packs.withColumns({"split": F.lit(0), "stored": F.lit(True), "looks": F.lit(True)})
+    none = hot.isEmpty()
     here = lambda i, j, stored, looks: F.struct((i * F.col("parts") + j).alias("split"), stored.alias("stored"), looks.alias("looks"))
     mine, other = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     as_stored = F.transform(other, lambda j: here(mine, j, F.lit(True), j == mine))
     as_looking = F.transform(F.filter(other, lambda i: i != mine), lambda i: here(i, mine, F.lit(False), F.lit(True)))
-    joined = packs.join(hot, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    return joined.withColumn("at", F.explode(F.concat(as_stored, as_looking))).select(*packs.columns, "at.*")
+    for number in range(rounds.count(t)):
+        packs = rows.mapInArrow(partial(packed, number), "bucket int, n int, id binary, vec binary, axes binary, weight binary, asks binary")
+        if none:
+            yield packs.withColumns({"split": F.lit(0), "stored": F.lit(True), "looks": F.lit(True)})
+            continue
+        joined = packs.join(hot, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        yield joined.withColumn("at", F.explode(F.concat(as_stored, as_looking))).select(*packs.columns, "at.*")
 
 
 def _near(column: pa.ChunkedArray | pa.Array, t: Tables, dim: int) -> np.ndarray:
@@ -232,8 +306,10 @@ def _met(near_q: np.ndarray, near_x: np.ndarray, before: int) -> np.ndarray:
 class Bucket:
     """What one task holds of a bucket: unit rows, and for each of its cells who is stored and who looks."""
 
-    def __init__(self, t: Tables, table: pa.Table):
+    def __init__(self, t: Tables, rounds: Rounds, table: pa.Table):
         self.t = t
+        bucket = int(table.column("bucket")[0].as_py())
+        first, end = rounds.tables_of(bucket // rounds.buckets, t)
         counts = table.column("n").to_pylist()
         joined = {c: b"".join(table.column(c).to_pylist()) for c in ("vec", "axes", "weight", "asks")}
         self.ids = _strings(table.column("id").to_pylist(), counts)
@@ -241,16 +317,16 @@ class Bucket:
         self.u32 = self.unit.astype(np.float32)
         dim = self.unit.shape[1]
         d = 1 << (dim - 1).bit_length()
-        self.near = np.frombuffer(joined["axes"], np.uint8 if 2 * d <= 256 else np.int32).reshape(len(self.ids), t.count, t.depth, t.probes)
+        self.near = np.frombuffer(joined["axes"], np.uint8 if 2 * d <= 256 else np.int32).reshape(len(self.ids), end, t.depth, t.probes)
         self.weight = np.frombuffer(joined["weight"], np.int64)
         stored = np.repeat(table.column("stored").to_numpy(), counts)
         looks = np.repeat(table.column("looks").to_numpy(), counts) & np.frombuffer(joined["asks"], bool)
-        cell = cells(self.near, t, dim).reshape(len(self.ids), -1)
-        row, look = np.nonzero(_bucket(cell.reshape(-1), int(table.column("buckets")[0].as_py())).reshape(cell.shape) == int(table.column("bucket")[0].as_py()))
-        cell, first = cell[row, look], look % t.looks == 0
+        cell = cells(self.near[:, first:], t, dim, first).reshape(len(self.ids), -1)
+        row, look = np.nonzero(rounds.bucket(cell, t) == bucket)
+        cell, home = cell[row, look], look % t.looks == 0
         order = np.argsort(cell, kind="stable")
         self.cell, self.row = cell[order], row[order]
-        self.stored, self.looking = (first & stored[row])[order], looks[row][order]
+        self.stored, self.looking = (home & stored[row])[order], looks[row][order]
 
     def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For chunks of those who look into a cell: its table, their numbers, the stored ones', and all products in single precision."""
@@ -291,7 +367,7 @@ def nearest(df_vectors: DataFrame, k: int = 10, least: float | None = None, tabl
     def best(table: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
-        cell = Bucket(t, table)
+        cell = Bucket(t, rounds, table)
         ids = cell.ids
         by_id = np.empty(len(ids), np.int64)
         by_id[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
@@ -333,7 +409,9 @@ def nearest(df_vectors: DataFrame, k: int = 10, least: float | None = None, tabl
 
     place = F.row_number().over(W.partitionBy("vec").orderBy("id"))
     few = vectors.withColumn("place", place).where(F.col("place") <= most).select("id", "vec", "place", (F.col("place") == 1).alias("asks"))
-    met = _meetings(few, t, "place", "asks").groupBy("bucket", "split").applyInArrow(best, "first string, other string, cosine double")
+    rows = _hashed(few, t, "place", "asks")
+    rounds = one_round(rows.count(), t, rows.sparkSession.sparkContext.defaultParallelism)
+    met = next(_meetings(rows, t, rounds)).groupBy("bucket", "split").applyInArrow(best, "first string, other string, cosine double")
     rank = F.row_number().over(W.partitionBy("first").orderBy(F.desc("cosine"), "other"))
     top = met.withColumn("rank", rank).where(F.col("rank") <= most)
     lists = top.groupBy("first").agg(F.sort_array(F.collect_list(F.struct("rank", "other", "cosine"))).alias("near"))
@@ -349,10 +427,10 @@ def nearest_pairs(df_vectors: DataFrame, k: int = 10, least: float = 0.8, dim: i
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
-def neighbourhoods(vectors: DataFrame, t: Tables, least: float, most: int = 32) -> DataFrame:
-    """Rows ``(id, n, other, cosine, link)`` about the neighbours of cosine at least ``least``, from one pass over the meetings.
+def neighbourhoods(rows: DataFrame, t: Tables, least: float, most: int = 32, dim: int = 64) -> DataFrame:
+    """Rows ``(id, n, other, cosine, link)`` about the neighbours of cosine at least ``least``, written, from one pass over the meetings.
 
-    ``vectors`` are ``(id, vec, weight)``, different vectors only. A row with ``n`` says that in one bucket
+    ``rows`` are those of ``_hashed``, different vectors only. A row with ``n`` says that in one bucket
     the neighbours that ``id`` meets for the first time have that weight; one with ``other`` and
     ``cosine`` is one of the two nearest that are no less dense there, of the ``most`` nearest of a cell;
     one with ``other`` and ``link`` says that a chain of neighbours joins both. So a bucket gives at most
@@ -360,7 +438,7 @@ def neighbourhoods(vectors: DataFrame, t: Tables, least: float, most: int = 32)
     """
 
     def run(table: pa.Table) -> pa.Table:
-        cell = Bucket(t, table)
+        cell = Bucket(t, rounds, table)
         ids, weight = cell.ids, cell.weight
         total = np.zeros(len(ids), np.int64)
         label = np.arange(len(ids))
@@ -414,7 +492,9 @@ def neighbourhoods(vectors: DataFrame, t: Tables, least: float, most: int = 32)
             }
         )
 
-    return _meetings(vectors, t, "weight").groupBy("bucket", "split").applyInArrow(run, "id string, n bigint, other string, cosine double, link boolean")
+    rounds = rounds_for(rows.count(), t, dim, rows.sparkSession.sparkContext.defaultParallelism)
+    fields = "id string, n bigint, other string, cosine double, link boolean"
+    return materialize_each((packs.groupBy("bucket", "split").applyInArrow(run, fields) for packs in _meetings(rows, t, rounds)), "neighbours")
 
 
 def density_peaks(df_vectors: DataFrame, least: float = 0.8, dim: int = 64, tables: Tables | None = None, most: int = 32) -> tuple[DataFrame, DataFrame]:
@@ -427,18 +507,22 @@ def density_peaks(df_vectors: DataFrame, least: float = 0.8, dim: int = 64, tabl
     without such a neighbour is a peak; following parents ends at it. Of equal vectors the smallest id
     is compared, the others have it as parent.
     """
-    vectors = materialize(df_vectors, "vectors")
+    vectors = materialize_each([df_vectors], "vectors")
     t = tables or tables_for(vectors.count(), dim, 0.0002)
-    classes = materialize(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
-    found = materialize(neighbourhoods(classes, t, least, most), "neighbours")
+    rows = _hashed(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight")), t, "weight")
+    copied = rows.where("weight > 1").select("vec", F.col("id").alias("first"))
+    copies = materialize_each([vectors.join(copied, "vec").where("id <> first").select("id", "first")], "copies")
+    discard(vectors)
+    found = neighbourhoods(rows, t, least, most, dim)
     others = found.where("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("others"))
-    dense = classes.select("id", "weight").join(others, "id", "left").select("id", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("density"), "weight")
-    dense = materialize(dense.where("density > 0"), "density")
+    dense = rows.select("id", "weight").join(others, "id", "left").select("id", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("density"), "weight")
+    dense = materialize_each([dense.where("density > 0")], "density")
+    discard(rows)
     near = found.where("cosine IS NOT NULL").select("id", "other", "cosine")
     near = near.join(dense.select("id", "density"), "id").join(dense.select(F.col("id").alias("other"), F.col("density").alias("above")), "other")
     near = near.where((F.col("above") > F.col("density")) | (F.col("above") == F.col("density")) & (F.col("other") < F.col("id")))
     parent = near.groupBy("id").agg(F.max_by("other", F.struct("cosine", "above", "other")).alias("parent"))
-    start = materialize(dense.join(parent, "id", "left").select("id", "density", "parent", "weight"), "parents")
+    start = materialize_each([dense.join(parent, "id", "left").select("id", "density", "parent", "weight")], "parents")
     peaks = materialize(start.select("id", F.coalesce("parent", "id").alias("peak")), "peaks")
     while True:
         above = peaks.select(F.col("id").alias("peak"), F.col("peak").alias("higher"))
@@ -448,8 +532,6 @@ def density_peaks(df_vectors: DataFrame, least: float = 0.8, dim: int = 64, tabl
         if after.where("moved").isEmpty():
             break
     firsts = start.join(peaks.select("id", "peak"), "id")
-    copied = classes.where("weight > 1").select("vec", F.col("id").alias("first"))
-    copies = vectors.join(copied, "vec").where("id <> first").select("id", "first")
     copies = copies.join(firsts.select(F.col("id").alias("first"), "density", "peak"), "first").select("id", "density", F.col("first").alias("parent"), "peak")
     links = found.where("link").select(F.col("id").alias("a"), F.col("other").alias("b"))
     return firsts.select("id", "density", "parent", "peak").union(copies), links
@@ -478,7 +560,7 @@ def similarity_clusters(df_vectors: DataFrame, least: float = 0.8, dim: int = 64
     within ``least`` are together, directly or through others; cluster_id is the smallest id.
     """
     labels, links = density_peaks(df_vectors, least, dim)
-    labels = materialize(labels, "labels")
+    labels = materialize_each([labels], "labels")
     peak_of = labels.select("id", "peak")
     between = (
         links.join(peak_of.select(F.col("id").alias("a"), F.col("peak").alias("pa")), "a")

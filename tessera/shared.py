@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _STEPS: list[str] = []
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +59,40 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return made
 
 
+@contextmanager
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is run inside go as soon as it has ended, not when the driver collects its garbage."""
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
+
+
+def materialize_each(rounds: Iterable[DataFrame], name: str = "step") -> DataFrame:
+    """The union of ``rounds``, of equal columns, as ``materialize`` has it; the shuffle files of a round go before the next is run."""
+    path = made = None
+    for df in rounds:
+        spark = df.sparkSession
+        if path is None:
+            path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+            if not _STEPS:
+                atexit.register(clear, spark)
+            _STEPS.append(path)
+        with _tidied(spark):
+            df.write.mode("append").parquet(path)
+        made = df
+    if made is None:
+        raise ValueError("no rounds")
+    made = made.sparkSession.read.schema(made.schema).parquet(path)
+    made._tessera_step = path
+    return made
+
+
 def discard(step: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing reads any more, such as the last round's of a loop."""
     path = getattr(step, "_tessera_step", None)

@@ -1,3 +1,6 @@
+import threading
+from pathlib import Path
+
 import numpy as np
 
 from tessera.llm import similar
@@ -119,3 +122,76 @@ def test_many_copies_and_near_copies_keep_the_exact_ten(spark):
             got.setdefault(r.id, []).append((r["rank"], r.other))
         assert {i: [o for _, o in sorted(got[i])] for i in want} == want
         assert all([p for p, _ in sorted(g)] == list(range(1, len(g) + 1)) for g in got.values())
+
+
+def test_clusters_hold_the_shuffle_of_one_round(spark, monkeypatch):
+    monkeypatch.setattr(similar, "ROUND_BYTES", 0, raising=False)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(3000, 64)), 2, axis=0) + 0.2 * rng.normal(size=(6000, 64))
+    vectors = similar.usable_vectors(spark.createDataFrame([(i, f"v{i:04d}", [float(a) for a in v]) for i, v in enumerate(x)], "seq long, id string, vector array<float>"))
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+
+    def held():
+        total = 0
+        for f in (f for folder in folders for f in Path(folder).rglob("shuffle_*")):
+            try:
+                total += f.stat().st_size
+            except FileNotFoundError:
+                pass
+        return total
+
+    spark.sparkContext._jvm.System.gc()
+    floor, most, over = held(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            most[0] = max(most[0], held() - floor)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        found = {r.id: r.cluster_id for r in similar.similarity_clusters(vectors).collect()}
+    finally:
+        over.set()
+        watcher.join()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.flatnonzero((unit[0::2] * unit[1::2]).sum(axis=1) >= 0.8)
+    assert len(near) > 2900 and all(found[f"v{2 * i + 1:04d}"] == found[f"v{2 * i:04d}"] for i in near)
+    assert most[0] < 4 * len(x) * 64 * 4
+
+
+def test_rounds_give_the_same_clusters(spark, monkeypatch):
+    vectors = similar.usable_vectors(frame(spark, data(3)))
+    for t in (similar.Tables(3, 1), similar.Tables(2, 2)):
+        got = {}
+        for share, bucket in ((1e9, 200_000), (5.2, 200_000), (2.5, 200_000), (0.9, 60)):
+            monkeypatch.setattr(similar, "ROUND_BYTES", 0)
+            monkeypatch.setattr(similar, "ROUND_SHARE", share)
+            monkeypatch.setattr(similar, "BUCKET_ROWS", bucket)
+            rounds = similar.rounds_for(400, t, 64, 4)
+            peaks, links = similar.density_peaks(vectors, tables=t)
+            group = {}
+            for a, b in [*links.collect(), *peaks.where("parent IS NOT NULL").select("id", "parent").collect()]:
+                both = group.get(a, {a}) | group.get(b, {b})
+                group.update(dict.fromkeys(both, both))
+            got[rounds.tables, rounds.parts] = {tuple(r) for r in peaks.select("id", "density").collect()}, {frozenset(m) for m in group.values()}
+        assert len(got) >= 3 and all(g == got[t.count, 1] for g in got.values())
+
+
+def test_rounds_cover_every_cell_once_within_their_bytes():
+    for rows, dim, t in ((10**5, 64, similar.Tables(10, 1)), (10**6, 64, similar.Tables(10, 1)), (15 * 10**6, 64, similar.Tables(21, 2)), (75 * 10**6, 64, similar.Tables(21, 2)), (10**6, 100, similar.Tables(7, 1))):
+        r = similar.rounds_for(rows, t, dim, 6)
+        near = similar.axes(similar._unit(np.random.default_rng(0).normal(size=(2000, dim))).astype(np.float32), t)
+        bucket = r.bucket(similar.cells(near, t, dim), t)
+        number = bucket // r.buckets
+        assert (number >= 0).all() and (number < r.count(t)).all()
+        for n in range(r.count(t)):
+            first, end = r.tables_of(n, t)
+            table = np.nonzero(number == n)[1]
+            assert ((first <= table) & (table < end)).all()
+            row = np.repeat(np.arange(2000), t.count * t.looks)
+            sent = len(np.unique(bucket.reshape(-1).astype(np.int64)[number.reshape(-1) == n] * 2000 + row[number.reshape(-1) == n]))
+            each = dim * 4 + near[0].nbytes + 24
+            assert sent / 2000 * rows * each <= 1.15 * max(similar.ROUND_BYTES, similar.ROUND_SHARE * rows * dim * 4)
+        assert rows < 15 * 10**6 or len(np.unique(bucket[0].reshape(t.count, -1)[0])) < t.looks or r.split > 1  # sent for first axes
+        assert sorted({k for n in range(r.count(t)) for k in range(*r.tables_of(n, t))}) == list(range(t.count))
